@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import langid, packing, quality
+from rankweave.llm import langid, mpegts, packing, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(named, model).drop("text")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = warc.build(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return built.select(
+        "page_id", "url", "refers_to", "metadata_id", "conversion_id", "source_block_digest", "source_payload_digest", "metadata_digest", "conversion_digest", "n_links",
+        F.length("text").alias("n_chars"), F.length("metadata").alias("metadata_bytes"), F.length("conversion").alias("conversion_bytes"), "problem",
+    )
+
+
 def tokenizer_path() -> str:
     """The public tokenizer's file, which every machine has in the same place."""
     import public_tokenizers
@@ -33,6 +41,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, quality.train(docs)).drop("text")
@@ -40,7 +52,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op5_warc": op5_warc,
     "op6_packing": op6_packing,
+    "op7_mpegts": op7_mpegts,
     "op8_quality": op8_quality,
 }
 
