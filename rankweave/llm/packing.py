@@ -36,18 +36,18 @@ WINDOW = 2048
 PART = 512  #: what remains of a document is cut into equal parts of at most so many ids
 GROUP_IDS = 192 * WINDOW
 BATCH_CHARS = 6_000_000
-KEEP_WORDS = 400_000
+KEEP_RUNS = 900_000
 
 #: Fixed value: the word pattern of the public tokenizer file.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
-    """Encodes by the tokenizer file, but each distinct word once.
+    """Encodes by the tokenizer file, but each distinct run of non-blanks once.
 
-    Its words are encoded apart from each other, so a text's ids are those of its words in a row.
-    Texts with characters beyond the common Latin ones, or with a special token's string, go to the
-    tokenizer whole, where normalisation may differ from Python's.
+    Its words are encoded apart from each other, so a text's ids are those of its words in a row, and
+    no word crosses white space.  Texts with characters beyond the common Latin ones, or with a
+    special token's string, go to the tokenizer whole, where normalisation may differ from Python's.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,41 +56,47 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = regex.compile(WORDS)
-        self.unusual = re.compile("[^\t\n\r\x20-\x7e\xa0-įı-ſ‐-‧]|<\\|")
+        self.unusual = re.compile("[^\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u017f\u2010-\u2027]|<\\|")
+        self.runs: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        new = sorted(words)
-        if len(self.known) + len(new) > KEEP_WORDS:
+    def _learn(self, runs: set[str]) -> None:
+        """The ids of new runs of non-blanks, by those of their words."""
+        if len(self.runs) + len(runs) > KEEP_RUNS:
+            self.runs.clear()
             self.known.clear()
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
+        # most runs are letters, perhaps with one mark behind; the pattern splits the others
+        split = {r: [r] if r.isalpha() else [r[:-1], r[-1]] if r[:-1].isalpha() and r[-1] in ".,;:?!" else self.words.findall(r) for r in runs}
+        new = list(set(itertools.chain.from_iterable(split.values())).difference(self.known))
+        for lo in range(0, len(new), 200):
+            part = new[lo : lo + 200]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, at = np.array(found.ids, "<u4"), np.array(found.word_ids)
-            cut = np.flatnonzero(np.diff(at)) + 1
-            pieces = np.split(ids, cut)
-            if len(pieces) == len(part):
-                self.known.update(zip(part, (p.tobytes() for p in pieces), strict=True))
+            ids, at = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
+            edges = [0, *((np.flatnonzero(np.diff(at)) + 1) * 4).tolist(), len(ids)]
+            if len(edges) == len(part) + 1:
+                self.known.update(zip(part, (ids[i:j] for i, j in itertools.pairwise(edges)), strict=True))
             else:
                 self.known.update((w, self._whole(w)) for w in part)
+        get = self.known.__getitem__
+        self.runs.update((r, b"".join(map(get, words))) for r, words in split.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         out: list[bytes] = []
         for lo in range(0, len(texts), 500):
             some = texts[lo : lo + 500]
-            split = [None if self.unusual.search(t) else self.words.findall(t.lower()) for t in some]
+            split = [None if self.unusual.search(t) else t.lower().split() for t in some]
             seen = set(itertools.chain.from_iterable(s for s in split if s))
-            new = seen.difference(self.known)
+            new = seen.difference(self.runs)
             if new:
-                size = len(self.known)
+                size = len(self.runs)
                 self._learn(new)
-                if len(self.known) < size + len(new):  # it was emptied
-                    self._learn(seen.difference(self.known))
-            get = self.known.__getitem__
+                if len(self.runs) < size + len(new):  # it was emptied
+                    self._learn(seen.difference(self.runs))
+            get = self.runs.__getitem__
             out += [self._whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(some, split, strict=True)]
         return out
 
