@@ -17,6 +17,7 @@ equal ids; repeated rows are packed each.
 from __future__ import annotations
 
 import functools
+import gc
 import heapq
 import itertools
 import os
@@ -36,7 +37,7 @@ WINDOW = 2048
 PART = 512  #: what remains of a document is cut into equal parts of at most so many ids
 GROUP_IDS = 192 * WINDOW
 BATCH_CHARS = 6_000_000
-KEEP_RUNS = 900_000
+KEEP_RUNS, KEEP_WORDS = 1_200_000, 900_000
 
 #: Fixed value: the word pattern of the public tokenizer file.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -67,9 +68,10 @@ class WordEncoder:
         """The ids of new runs of non-blanks, by those of their words."""
         if len(self.runs) + len(runs) > KEEP_RUNS:
             self.runs.clear()
-            self.known.clear()
         # most runs are letters, perhaps with one mark behind; the pattern splits the others
         split = {r: [r] if r.isalpha() else [r[:-1], r[-1]] if r[:-1].isalpha() and r[-1] in ".,;:?!" else self.words.findall(r) for r in runs}
+        if len(self.known) > KEEP_WORDS:
+            self.known.clear()
         new = list(set(itertools.chain.from_iterable(split.values())).difference(self.known))
         for lo in range(0, len(new), 200):
             part = new[lo : lo + 200]
@@ -85,19 +87,26 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
+        gc.disable()  # the word lists hold no cycles, and walking them again and again is slow
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for lo in range(0, len(texts), 500):
             some = texts[lo : lo + 500]
             split = [None if self.unusual.search(t) else t.lower().split() for t in some]
-            seen = set(itertools.chain.from_iterable(s for s in split if s))
-            new = seen.difference(self.runs)
+            found = [None if s is None else list(map(self.runs.get, s)) for s in split]
+            holes = [i for i, f in enumerate(found) if f is not None and None in f]
+            new = {r for i in holes for r, ids in zip(split[i], found[i], strict=True) if ids is None}
             if new:
-                size = len(self.runs)
                 self._learn(new)
-                if len(self.runs) < size + len(new):  # it was emptied
-                    self._learn(seen.difference(self.runs))
-            get = self.runs.__getitem__
-            out += [self._whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(some, split, strict=True)]
+                get = self.runs.__getitem__
+                for i in holes:
+                    found[i] = [get(r) if ids is None else ids for r, ids in zip(split[i], found[i], strict=True)]
+            out += [self._whole(t) if f is None else b"".join(f) for t, f in zip(some, found, strict=True)]
         return out
 
 
