@@ -26,25 +26,24 @@ _CANONICAL = [rf"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*{_HREF}"
 _REFRESH = [r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*[\d.]*\s*[;,]?\s*url\s*=\s*["']?([^"'\s>]+)"""]
 
 
-def _after_scheme(url: Column) -> Column:
-    at = F.instr(url, "://")
-    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
+def _part(url: Column, pattern: str) -> Column:
+    """What the pattern's group holds after the first ``://``; empty for null or without one."""
+    return F.coalesce(F.regexp_extract(url, "(?s)^.*?://" + pattern, 1), F.lit(""))
 
 
 def host(url: Column) -> Column:
     """What follows the first ``://`` up to ``/``, ``?`` or ``#``, with A-Z in lower case."""
-    return F.translate(F.regexp_extract(F.coalesce(_after_scheme(url), F.lit("")), r"^[^/?#]*", 0), _UPPER, _LOWER)
+    return F.translate(_part(url, "([^/?#]*)"), _UPPER, _LOWER)
 
 
 def path(url: Column) -> Column:
     """What follows the host up to ``?`` or ``#``."""
-    return F.regexp_extract(F.coalesce(_after_scheme(url), F.lit("")), r"^[^/?#]*([^?#]*)", 1)
+    return _part(url, "[^/?#]*([^?#]*)")
 
 
 def alias_key(url: Column) -> Column:
-    """An address without scheme and fragment; null without ``://``."""
-    rest = F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^#]*)", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(host(url), rest))
+    """An address without scheme and fragment; null without ``://`` or if nothing is left."""
+    return F.nullif(F.concat(host(url), _part(url, "[^/?#]*([^#]*)")), F.lit(""))
 
 
 def rule_of(host_: Column, path_: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -55,17 +54,18 @@ def rule_of(host_: Column, path_: Column, rules: list[tuple[str, str, str]]) ->
     return F.coalesce(*fits, F.lit(None).cast("struct<rule: string, verdict: string>"))
 
 
-def _resolved(base: Column, link: Column) -> Column:
-    """A link's address, relative to the page's."""
-    scheme = F.regexp_extract(base, r"^[^:/?#]+", 0)
-    origin = F.concat(scheme, F.lit("://"), host(base))
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    return (
+def _resolved(links: DataFrame) -> DataFrame:
+    """(source, target): each link's address, relative to its page's."""
+    source, link = F.col("source"), F.col("link")
+    parts = links.withColumns({"scheme": F.regexp_extract(source, r"^[^:/?#]+", 0), "origin": host(source), "folder": F.regexp_replace(path(source), r"[^/]*$", "")})
+    origin = F.concat("scheme", F.lit("://"), "origin")
+    target = (
         F.when(F.instr(link, "://") > 0, link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(link.startswith("//"), F.concat(F.col("scheme"), F.lit(":"), link))
         .when(link.startswith("/"), F.concat(origin, link))
-        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), link))
+        .otherwise(F.concat(origin, F.when(F.col("folder") == "", "/").otherwise(F.col("folder")), link))
     )
+    return parts.select("source", target.alias("target"))
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -75,8 +75,8 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     found = pages.where(source.isNotNull() & likely).select(
         source.alias("source"), F.explode(F.concat(*[F.regexp_extract_all(text, F.lit(p), 1) for p in (*_CANONICAL, *_REFRESH)])).alias("link")
     )
-    link = F.replace(F.col("link"), F.lit("&amp;"), F.lit("&"))
-    return found.where("link <> ''").select("source", _resolved(F.col("source"), link).alias("target"))
+    found = cut(found.where("link <> ''"))  # few pages have any
+    return _resolved(found.withColumn("link", F.replace(F.col("link"), F.lit("&amp;"), F.lit("&"))))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame, url: str = "url") -> DataFrame:
