@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import langid, mpegts, ngram_join, packing, quality, urlfilter, warc
+from rankweave.llm import bpe_dropout, langid, mpegts, ngram_join, packing, quality, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(named, model).drop("text")
 
 
+def op3_bpe_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_dropout.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), seed=20240501, rate=0.1)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = warc.build(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return built.select(
@@ -64,6 +70,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_bpe_dropout": op3_bpe_dropout,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_mpegts": op7_mpegts,
