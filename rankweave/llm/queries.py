@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import ann, bpe_dropout, langid, mpegts, ngram_join, packing, quality, urlfilter, warc
+from rankweave.llm import ann, bpe_dropout, html_extract, langid, mpegts, ngram_join, packing, quality, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op3_bpe_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_dropout.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), seed=20240501, rate=0.1)
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = warc.build(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return built.select(
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ann": op2_ann,
     "op3_bpe_dropout": op3_bpe_dropout,
+    "op4_html_extract": op4_html_extract,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_mpegts": op7_mpegts,
