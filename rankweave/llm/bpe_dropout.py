@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rankweave.llm.textbatch import code_points, column, slices, starts_of
+from rankweave.llm.textbatch import code_points, column, slices, starts_of, use_memory
 
 SPACE = "▁"
 VARIANTS = 4
@@ -282,6 +282,7 @@ def _mapped(df: DataFrame, source: str, added: list[tuple[str, str, pa.DataType]
     kept = [f for f in df.schema.fields if f.name not in drop and f.name not in {a[0] for a in added}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("bpe_dropout", _encoder.cache_clear)
         for whole in batches:
             values = column(whole, source)
             others = [whole.column(whole.schema.get_field_index(f.name)) for f in kept]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.textbatch import code_points, column, slices, starts_of, sums
+from rankweave.llm.textbatch import code_points, column, slices, starts_of, sums, use_memory
 
 ALPHABET = 64  #: 0 is any run of non-letters, the last any letter that is rare in the samples
 WINDOW = 4096
@@ -213,6 +213,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     names = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("langid", _parsers.cache_clear)
         for whole in batches:
             texts = column(whole, text)
             for lo, hi in slices([len(t or "") for t in texts], BATCH_CHARS):

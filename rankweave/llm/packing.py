@@ -31,7 +31,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rankweave.llm.textbatch import column, slices
+from rankweave.llm.textbatch import column, slices, use_memory
 
 WINDOW = 2048
 PART = 512  #: what remains of a document is cut into equal parts of at most so many ids
@@ -210,6 +210,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                 yield keys[lo:hi], texts[lo:hi], whole.schema.field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("packing", _encoder.cache_clear)
         encoder = _encoder(tokenizer)
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 32

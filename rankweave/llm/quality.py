@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.textbatch import code_points, column, slices, starts_of, sums
+from rankweave.llm.textbatch import code_points, column, slices, starts_of, sums, use_memory
 
 BUCKETS = 1024
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 800_000
 LABELLERS = ("symbols", "lone_marks", "capitals", "echo", "runs", "shouting", "sentences", "marked_words")
 GAP, LOWER, UPPER, DIGIT, STOP, LINE, OTHER = range(7)  #: shapes; further marks have their own
 
@@ -211,6 +211,7 @@ def _votes(docs: DataFrame, text: str) -> DataFrame:
     """The vote pattern of every text that isn't blank, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("quality")
         for whole in batches:
             texts = [t for t in column(whole, text) if not _blank(t)]
             for lo, hi in slices([len(t) for t in texts], BATCH_CHARS):
@@ -238,6 +239,7 @@ def train(docs: DataFrame, text: str = "text", train_docs: int = 2000) -> Qualit
     rows = docs.where(F.col(text).isNotNull()).where(hashed < int(min(1.0, 1.5 * train_docs / total) * grid)).select(F.col(text).alias("t"), hashed.alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("quality")
         for whole in batches:
             kept = [(t, h) for t, h in zip(column(whole, "t"), column(whole, "h"), strict=True) if not _blank(t)]
             for lo, hi in slices([len(t) for t, _ in kept], BATCH_CHARS):
@@ -261,6 +263,7 @@ def classify(docs: DataFrame, model: QualityModel, text: str = "text", threshold
     names = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("quality")
         for whole in batches:
             texts = column(whole, text)
             for lo, hi in slices([len(t or "") for t in texts], BATCH_CHARS):

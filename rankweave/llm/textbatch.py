@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,3 +43,16 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def use_memory(name: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Announces an operator that keeps tables between the tasks of a Python worker.
+
+    Workers serve one operator after the other: what others have kept there is dropped by now.
+    """
+    for other in [k for k in _HELD if k != name]:
+        _HELD.pop(other)()
+    _HELD[name] = clear
