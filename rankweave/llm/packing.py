@@ -37,7 +37,7 @@ WINDOW = 2048
 PART = 512  #: what remains of a document is cut into equal parts of at most so many ids
 GROUP_IDS = 192 * WINDOW
 BATCH_CHARS = 6_000_000
-KEEP_RUNS, KEEP_WORDS = 1_200_000, 900_000
+KEEP_RUNS = 900_000
 
 #: Fixed value: the word pattern of the public tokenizer file.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -59,31 +59,29 @@ class WordEncoder:
         self.words = regex.compile(WORDS)
         self.unusual = re.compile("[^\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u017f\u2010-\u2027]|<\\|")
         self.runs: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, runs: set[str]) -> None:
-        """The ids of new runs of non-blanks, by those of their words."""
+        """The ids of new runs of non-blanks, by those of their words; a word is a run as well."""
         if len(self.runs) + len(runs) > KEEP_RUNS:
             self.runs.clear()
+        known = self.runs
         # most runs are letters, perhaps with one mark behind; the pattern splits the others
-        split = {r: [r] if r.isalpha() else [r[:-1], r[-1]] if r[:-1].isalpha() and r[-1] in ".,;:?!" else self.words.findall(r) for r in runs}
-        if len(self.known) > KEEP_WORDS:
-            self.known.clear()
-        new = list(set(itertools.chain.from_iterable(split.values())).difference(self.known))
+        split = {r: [r[:-1], r[-1]] if r[:-1].isalpha() and r[-1] in ".,;:?!" else self.words.findall(r) for r in runs if not r.isalpha()}
+        new = list({w for words in split.values() for w in words if w not in known}.union(r for r in runs if r not in split))
         for lo in range(0, len(new), 200):
             part = new[lo : lo + 200]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids, at = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
             edges = [0, *((np.flatnonzero(np.diff(at)) + 1) * 4).tolist(), len(ids)]
             if len(edges) == len(part) + 1:
-                self.known.update(zip(part, (ids[i:j] for i, j in itertools.pairwise(edges)), strict=True))
+                known.update(zip(part, (ids[i:j] for i, j in itertools.pairwise(edges)), strict=True))
             else:
-                self.known.update((w, self._whole(w)) for w in part)
-        get = self.known.__getitem__
-        self.runs.update((r, b"".join(map(get, words))) for r, words in split.items())
+                known.update((w, self._whole(w)) for w in part)
+        get = known.__getitem__
+        known.update([(r, b"".join(map(get, words))) for r, words in split.items()])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
