@@ -43,7 +43,7 @@ def beam_search(entries: DataFrame, edges: DataFrame, score: Scorer, plan: Plan,
     cheap score, which costs nothing.  ``cheap`` holds such scores (query_id, item_id, score).
     """
     beam_size = min(plan.beam, plan.budget)
-    graph = cut(edges.select("src", F.col("dst").alias("item_id"), "pos"))
+    graph = cut(edges.select("src", F.col("dst").alias("nbr"), "pos"))
     start = entries.select("query_id", "item_id").distinct()
     start = start.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("item_id"))).where(F.col("at") <= plan.budget)
     seen = cut(score(start.select("query_id", "item_id")).withColumn("round", F.lit(0)).withColumn("cost", F.lit(1)))
@@ -53,7 +53,7 @@ def beam_search(entries: DataFrame, edges: DataFrame, score: Scorer, plan: Plan,
         paid = seen.groupBy("query_id").agg(F.sum("cost").alias("paid"))
         worst = ranked(seen, plan.k).groupBy("query_id").agg(F.min("score").alias("worst"), F.count(F.lit(1)).alias("have"))
         open_ = front.join(paid.where(F.col("paid") < plan.budget), "query_id")
-        reached = open_.join(graph, open_["item_id"] == graph["src"]).select("query_id", graph["item_id"], "paid", "rk", "pos")
+        reached = open_.withColumnRenamed("item_id", "src").join(graph, "src").select("query_id", F.col("nbr").alias("item_id"), "paid", "rk", "pos")
         first = reached.groupBy("query_id", "item_id").agg(F.min(F.struct("rk", "pos")).alias("o"), F.first("paid").alias("paid"))
         new = first.join(seen.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
         free = None
