@@ -17,7 +17,7 @@ def mcnemar(pairs: DataFrame) -> DataFrame:
     """Counts of right/right, right/wrong, wrong/right, wrong/wrong outcomes and the chi-square with 1 degree of freedom."""
     n = [F.count_if((F.col("a") == x) & (F.col("b") == y)).alias(name) for name, x, y in (("rr", 1, 1), ("rw", 1, 0), ("wr", 0, 1), ("ww", 0, 0))]
     gap, both = F.col("rw") - F.col("wr"), F.col("rw") + F.col("wr")
-    return pairs.agg(*n).withColumn("chi2", F.when(both > 0, gap * gap / both).otherwise(0.0))
+    return pairs.agg(*n).withColumn("chi2", F.coalesce(F.try_divide(gap * gap, both), F.lit(0.0)))
 
 
 def chi2_1_p(chi2: float) -> float:
@@ -28,7 +28,7 @@ def paired_t(pairs: DataFrame) -> DataFrame:
     """(n, mean, t) of the differences; t is null without variance."""
     d = F.col("a") - F.col("b")
     out = pairs.agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("s"))
-    return out.select("n", "mean", F.when(F.col("s") > 0, F.col("mean") / (F.col("s") / F.sqrt("n"))).alias("t"))
+    return out.select("n", "mean", F.try_divide(F.col("mean"), F.col("s") / F.sqrt("n")).alias("t"))
 
 
 def student_p(t: float, n: int) -> float:
@@ -103,7 +103,7 @@ def kolmogorov(values: DataFrame, value: str) -> DataFrame:
     stats = values.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("s"), F.count(value).alias("n"))
     sizes = values.groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(stats))
     upto = F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    z = (F.col("x") - F.col("mean")) / F.col("s")
+    z = F.coalesce(F.try_divide(F.col("x") - F.col("mean"), F.col("s")), F.lit(0.0))
     # Abramowitz and Stegun 26.2.17, to 7.5e-8
     t = 1 / (1 + 0.2316419 * F.abs(z))
     tail = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))

@@ -86,7 +86,7 @@ def weighted_ball(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {R}, {KNN}, pth AS (SELECT query_id, rk AS step, item_id AS node, lead(item_id) OVER (PARTITION BY query_id ORDER BY rk) AS pos_id FROM ex WHERE rk <= 4),
-o AS (SELECT query_id, step, node, pos_id, list_concat([node], coalesce(list(dst ORDER BY pos) FILTER (WHERE dst <> pos_id), [])) AS a FROM pth LEFT JOIN knn ON src = node WHERE pos_id IS NOT NULL GROUP BY ALL)
+o AS (SELECT query_id, step, node, pos_id, list_concat([node], coalesce(list(dst ORDER BY pos) FILTER (WHERE dst <> pos_id), [])) AS a FROM pth LEFT JOIN knn ON src = node WHERE pos_id IS NOT NULL GROUP BY query_id, step, node, pos_id)
 SELECT query_id, step, node, pos_id, list_concat(a, a, a, a, a, a, a, a)[1:8] AS neg_ids FROM o""")
 def path_steps(spark: SparkSession, d: str) -> DataFrame:
     from rankweave.operators.graphs import knn_graph
