@@ -35,9 +35,9 @@ from rankweave.llm.textbatch import column, slices, use_memory
 
 WINDOW = 2048
 PART = 512  #: what remains of a document is cut into equal parts of at most so many ids
-GROUP_IDS = 192 * WINDOW
+GROUP_IDS = 96 * WINDOW
 BATCH_CHARS = 6_000_000
-KEEP_RUNS = 900_000
+KEEP_RUNS = 900_000  #: runs of non-blanks that a worker remembers, of some 200 bytes each
 
 #: Fixed value: the word pattern of the public tokenizer file.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -51,7 +51,8 @@ class WordEncoder:
     special token's string, go to the tokenizer whole, where normalisation may differ from Python's.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, keep_runs: int = KEEP_RUNS) -> None:
+        self.keep_runs = keep_runs
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,7 +66,7 @@ class WordEncoder:
 
     def _learn(self, runs: set[str]) -> None:
         """The ids of new runs of non-blanks, by those of their words; a word is a run as well."""
-        if len(self.runs) + len(runs) > KEEP_RUNS:
+        if len(self.runs) + len(runs) > self.keep_runs:
             self.runs.clear()
         known = self.runs
         # most runs are letters, perhaps with one mark behind; the pattern splits the others
@@ -109,8 +110,8 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=1)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str, keep_runs: int) -> WordEncoder:
+    return WordEncoder(path, keep_runs)
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -195,9 +196,10 @@ def pack_ids(docs: list[bytes], window: int = WINDOW, part: int = PART, group_id
     yield from dealt()
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", closing_id: int = 1, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", closing_id: int = 1, window: int = WINDOW, with_ids: bool = False, keep_runs: int = KEEP_RUNS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with
-    ``with_ids`` also the ids.  ``tokenizer`` is the path of the tokenizer file on every machine."""
+    ``with_ids`` also the ids.  ``tokenizer`` is the path of the tokenizer file on every machine;
+    ``keep_runs`` trades memory of the Python workers for time."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     end = np.array([closing_id], "<u4").tobytes()
 
@@ -209,7 +211,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_memory("packing", _encoder.cache_clear)
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, keep_runs)
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 32
         for keys, texts, kind in parts(batches):

@@ -53,7 +53,7 @@ def tokenizer_path() -> str:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), keep_runs=1_500_000)
 
 
 def op7_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
