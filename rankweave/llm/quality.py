@@ -26,6 +26,7 @@ from rankweave.llm.textbatch import code_points, column, slices, starts_of, sums
 
 BUCKETS = 1024
 BATCH_CHARS = 800_000
+FULL_WORDS = 12  #: words from which a text speaks for itself
 LABELLERS = ("symbols", "lone_marks", "capitals", "echo", "runs", "shouting", "sentences", "marked_words")
 GAP, LOWER, UPPER, DIGIT, STOP, LINE, OTHER = range(7)  #: shapes; further marks have their own
 
@@ -50,8 +51,8 @@ def _shapes() -> np.ndarray:
     return _SHAPES[0]
 
 
-def _per_text(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The labellers' votes (1, -1 or 0 by text and labeller) and the hashed features by text."""
+def _per_text(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The labellers' votes (1, -1 or 0 by text and labeller), the hashed features and the words by text."""
     flat, lengths = code_points(texts)
     shape = _shapes()[flat]
     n_texts = len(texts)
@@ -133,7 +134,7 @@ def _per_text(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     word_counts = np.bincount(word_owner * half + word_bucket, minlength=n_texts * half).reshape(n_texts, half)
     features = np.concatenate([counts / np.maximum(counts.sum(1, keepdims=True), 1), word_counts / n_words[:, None]], axis=1)
     votes[of(inked) == 0] = 0
-    return votes, np.sqrt(features).astype(np.float32)
+    return votes, np.sqrt(features).astype(np.float32), n_words
 
 
 def _blank(text: str | None) -> bool:
@@ -187,8 +188,12 @@ class QualityModel:
     weights: np.ndarray
     bias: float
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(features @ self.weights + self.bias, -500, 500)))
+    def score(self, features: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+        """The probability that each text is good; few words say little, so there the prior counts too."""
+        trust = np.minimum(1.0, n_words / FULL_WORDS)
+        prior = np.log(self.weak.prior) - np.log1p(-self.weak.prior)
+        logit = trust * (features @ self.weights + self.bias) + (1 - trust) * prior
+        return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
 def fit_linear(features: np.ndarray, target: np.ndarray, steps: int = 200, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -215,7 +220,7 @@ def _votes(docs: DataFrame, text: str) -> DataFrame:
         for whole in batches:
             texts = [t for t in column(whole, text) if not _blank(t)]
             for lo, hi in slices([len(t) for t in texts], BATCH_CHARS):
-                votes, _ = _per_text(texts[lo:hi])
+                votes = _per_text(texts[lo:hi])[0]
                 kinds, counts = np.unique(votes, axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in kinds], pa.binary()), pa.array(counts.astype(np.int64))], names=["pattern", "n"])
 
@@ -243,7 +248,7 @@ def train(docs: DataFrame, text: str = "text", train_docs: int = 2000) -> Qualit
         for whole in batches:
             kept = [(t, h) for t, h in zip(column(whole, "t"), column(whole, "h"), strict=True) if not _blank(t)]
             for lo, hi in slices([len(t) for t, _ in kept], BATCH_CHARS):
-                found, features = _per_text([t for t, _ in kept[lo:hi]])
+                found, features, _ = _per_text([t for t, _ in kept[lo:hi]])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([h for _, h in kept[lo:hi]], pa.int64()), pa.array([v.tobytes() for v in found], pa.binary()), pa.array([f.tobytes() for f in features], pa.binary())],
                     names=["h", "votes", "features"],
@@ -267,9 +272,9 @@ def classify(docs: DataFrame, model: QualityModel, text: str = "text", threshold
         for whole in batches:
             texts = column(whole, text)
             for lo, hi in slices([len(t or "") for t in texts], BATCH_CHARS):
-                votes, features = _per_text([t or "" for t in texts[lo:hi]])
+                votes, features, n_words = _per_text([t or "" for t in texts[lo:hi]])
                 blank = np.array([_blank(t) for t in texts[lo:hi]], bool)
-                score = np.where(blank, 0.0, model.score(features))
+                score = np.where(blank, 0.0, model.score(features, n_words))
                 posterior = np.where(blank, 0.0, model.weak.posterior(votes))
                 part = whole.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(posterior), pa.array(score >= threshold)], names=[*names, *added])
