@@ -11,11 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Batches between the JVM and Python: whole texts are long, and both sides hold several batches at once.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
 def importable(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver found it.
+    """Lets Python workers import this package from where the driver found it, and bounds Arrow batches
+    where the session has left them at Spark's defaults.
 
     A cluster whose machines do not share that folder gets the package by ``--py-files`` instead.
     """
+    for name, (default, ours) in BATCHES.items():
+        if spark.conf.get(name, None) == default:
+            spark.conf.set(name, ours)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
