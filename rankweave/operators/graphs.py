@@ -11,19 +11,11 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.sampling import key, uniform
 from rankweave.operators.index import nearest
+from rankweave.operators.ordering import ordinals
 from rankweave.operators.scoring import ranked
 from rankweave.session import cut
 
 
-def ordinals(ids: DataFrame, id_col: str, name: str = "ordinal") -> DataFrame:
-    """``ids`` numbered from 0 by the column's order: numbers within ranges plus the ranges' offsets."""
-    parts = cut(ids.repartitionByRange(id_col).withColumn("_part", F.spark_partition_id()))
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select("_part", (F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_offset"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(id_col)) - 1
-    return parts.withColumn("_at", within).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_at") + F.col("_offset")).cast("long")).drop("_part", "_at", "_offset")
-
-
 def knn_graph(vectors: DataFrame, k: int, metric: str = "ip", index: str = "auto", drop_first: bool = False) -> DataFrame:
     """Each node's k nearest others; with ``drop_first`` the k+1 nearest less the first, whichever that is."""
     nodes = vectors.select(F.col("id").alias("query_id"), "e")

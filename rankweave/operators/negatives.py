@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.sampling import key, uniform
-from rankweave.operators.graphs import ordinals
 from rankweave.operators.joins import without
+from rankweave.operators.ordering import ordinals
 from rankweave.operators.scoring import gather, ranked
 
 

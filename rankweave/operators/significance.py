@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.functions.sampling import key, uniform
+from rankweave.operators.ordering import ordinals, running_total
+from rankweave.session import cut
 
 
 def mcnemar(pairs: DataFrame) -> DataFrame:
@@ -65,8 +67,7 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     """
     d = pairs.select((F.col("a") - F.col("b")).alias("d")).where("d <> 0")
     sizes = d.groupBy(F.abs("d").alias("m")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("up"))
-    before = F.sum("c").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1))
-    rank = sizes.withColumn("r", F.coalesce(before, F.lit(0)) + (F.col("c") + 1) / 2)
+    rank = running_total(sizes, "m", "c").withColumn("r", F.col("total") + (F.col("c") + 1) / 2)
     out = rank.agg(F.sum("c").alias("n"), F.sum(F.col("r") * F.col("up")).alias("w_plus"), F.sum(F.col("r") * (F.col("c") - F.col("up"))).alias("w_minus"))
     return out.withColumn("w", F.least("w_plus", "w_minus"))
 
@@ -89,7 +90,7 @@ def permutation(pairs: DataFrame, rounds: int, seed: int) -> DataFrame:
 
 def bootstrap(pairs: DataFrame, rounds: int, seed: int) -> DataFrame:
     """(observed, hits, p): how often a resample's mean difference is more than twice the observed one; draws are hashed."""
-    d = pairs.select((F.row_number().over(Window.orderBy("pair")) - 1).alias("i"), (F.col("a") - F.col("b")).alias("d"))
+    d = cut(ordinals(pairs.select("pair", (F.col("a") - F.col("b")).alias("d")), "pair", "i").select("i", "d"))
     n = d.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("observed"))
     draws = d.select(F.col("i").alias("slot")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).crossJoin(F.broadcast(n))
     drawn = draws.withColumn("i", F.floor(uniform(seed, F.col("r"), F.col("slot")) * F.col("n")).cast("int"))
@@ -102,13 +103,12 @@ def kolmogorov(values: DataFrame, value: str) -> DataFrame:
     """(n, ks): the largest gap between the values' distribution and the normal one of their mean and deviation."""
     stats = values.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("s"), F.count(value).alias("n"))
     sizes = values.groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(stats))
-    upto = F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     z = F.coalesce(F.try_divide(F.col("x") - F.col("mean"), F.col("s")), F.lit(0.0))
     # Abramowitz and Stegun 26.2.17, to 7.5e-8
     t = 1 / (1 + 0.2316419 * F.abs(z))
     tail = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     cdf = F.when(z >= 0, 1 - tail).otherwise(tail)
-    gaps = sizes.withColumn("upto", upto).select("n", F.greatest(F.abs(F.col("upto") / F.col("n") - cdf), F.abs((F.col("upto") - F.col("c")) / F.col("n") - cdf)).alias("gap"))
+    gaps = running_total(sizes, "x", "c").withColumn("upto", F.col("total") + F.col("c")).select("n", F.greatest(F.abs(F.col("upto") / F.col("n") - cdf), F.abs((F.col("upto") - F.col("c")) / F.col("n") - cdf)).alias("gap"))
     return gaps.agg(F.max("n").alias("n"), F.max("gap").alias("ks"))
 
 

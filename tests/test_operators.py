@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave.functions import texts, vectors
+from rankweave.operators.ordering import ordinals, running_total
 from rankweave.operators import aggregates, approx, graphs, index, joins, lexical, losses, metrics, negatives, report, scoring, search, sequence, setops, significance, tree
 
 
@@ -157,7 +158,7 @@ def test_graph_builders(spark, clouds):
     assert graphs.small_world(knn, knn, 5, long_range=False).groupBy("src").count().where("count <> 4").count() == 0
     pairs = frame(spark, [(1, 0, 1, 1.0), (1, 1, 2, 2.0), (1, 0, 2, 5.0), (2, 4, 5, 3.0)], "g long, a long, b long, w double")
     assert {r.g: list(r.weights) for r in graphs.spanning_weights(pairs, "g").collect()} == {1: [1.0, 2.0], 2: [3.0]}
-    assert [r.ordinal for r in graphs.ordinals(df.select("id"), "id").orderBy("id").collect()] == list(range(120))
+    assert [r.ordinal for r in ordinals(df.select("id"), "id").orderBy("id").collect()] == list(range(120))
 
 
 def test_lexical_formulas(spark):
