@@ -33,7 +33,7 @@ PATH, WORDS, MEASURES = 64, 24, 12
 WIDTH = PATH + WORDS + MEASURES
 HIDDEN = 16
 TRAIN_PAGES, EPOCHS, BATCH = 2000, 22, 50
-STEP_CAP = 64  #: training pages are at most about so long; labelling has no such bound
+STEP_CAP = 80  #: training pages are at most about so long; labelling has no such bound
 BATCH_CHARS, BATCH_BLOCKS = 3_000_000, 60_000
 
 
@@ -283,8 +283,13 @@ class PageMaker:
     def article(self) -> list[str]:
         r = self.r
         out = [f"<h{r.choice('112')}>{self.sentence(r.randint(1, 12))}</h1>"] if r.random() < 0.85 else []
-        for _ in range(r.choice((1, 2, 3, 4, 6, 8, 12, 20))):
+        for _ in range(r.choice((1, 2, 3, 4, 6, 8, 12, 20, 30))):
             x = r.random()
+            if r.random() < 0.06:  # a streak of short paragraphs, perhaps all the same
+                short = self.sentence(r.randint(1, 3))
+                same = r.random() < 0.5
+                out += [f"<p>{short if same else self.sentence(r.randint(1, 4))}</p>" for _ in range(r.randint(1, 12))]
+                continue
             if x < 0.74:
                 out.append(f"<p>{self.inline(self.prose())}" + ("</p>" if r.random() < 0.85 else ""))
             elif x < 0.8:
