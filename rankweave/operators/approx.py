@@ -7,13 +7,17 @@ product of a query's and an item's latent vectors.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.sampling import key
 from rankweave.operators.scoring import gather, matrix, ranked, topk
+from rankweave.session import cut
 
 
 def anchors(ids: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
@@ -43,9 +47,14 @@ def vectors(scores: DataFrame, by: str, over: list[int]) -> DataFrame:
 
 
 def times(vecs: DataFrame, m: np.ndarray) -> DataFrame:
-    """(id, e·m) for a small matrix."""
-    cols = [F.array(*[F.lit(float(x)) for x in col]) for col in m.T]
-    return vecs.select("id", F.transform(F.array(*cols), lambda c: F.aggregate(F.zip_with("e", c, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)).alias("e"))
+    """(id, e·m) for a small matrix, an Arrow batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, len(m))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(e @ m), pa.list_(pa.float64()))], names=["id", "e"])
+
+    return vecs.select("id", "e").mapInArrow(run, "id long, e array<double>")
 
 
 class Cur:
@@ -223,7 +232,7 @@ def incremental_cur(scores: DataFrame, train: DataFrame, n_anchors: int, steps:
 def evaluate(approx: DataFrame, exact: DataFrame, k: int, k_retrieved: int) -> DataFrame:
     """(query_id, recall, rerank_recall): how many of the exact k best the approximate k best have, and those after reranking ``k_retrieved``."""
     best = ranked(exact, k).select("query_id", "item_id")
-    found = ranked(approx, k_retrieved)
+    found = cut(ranked(approx, k_retrieved))
     again = ranked(gather(found.drop("rk"), exact), k).select("query_id", "item_id", F.lit(1).alias("re"))
     direct = found.where(F.col("rk") <= k).select("query_id", "item_id", F.lit(1).alias("di"))
     joined = best.join(direct, ["query_id", "item_id"], "left").join(again, ["query_id", "item_id"], "left")

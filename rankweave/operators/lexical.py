@@ -7,17 +7,38 @@ very many documents share is a skewed join key, which adaptive execution splits.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.functions.texts import spaced, words
+
+WORD = re.compile(r"\w{2,}")
 
 
 def term_counts(docs: DataFrame, doc_id: str, text: str, kind: str = "words") -> DataFrame:
-    """(doc_id, term, tf) with ``words`` (lower case, two characters at least) or ``spaced`` terms."""
-    split = words if kind == "words" else spaced
-    terms = docs.select(F.col(doc_id).alias("doc_id"), F.explode(split(F.col(text))).alias("term"))
-    return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc_id, term, tf) with ``words`` (lower case, two characters at least) or ``spaced`` terms.
+
+    A document's terms are counted where its row is, so that no row of every occurrence is shuffled.
+    """
+    split = (lambda t: WORD.findall(t.lower())) if kind == "words" else (lambda t: t.split(" "))
+    id_type = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column(0), b.column(1).to_pylist()
+            for lo in range(0, len(texts), 200):
+                counts = [Counter(split(t)) if t is not None else {} for t in texts[lo : lo + 200]]
+                owner = np.repeat(np.arange(lo, lo + len(counts)), [len(c) for c in counts])
+                terms = pa.array([t for c in counts for t in c], pa.string())
+                times = pa.array(np.fromiter((n for c in counts for n in c.values()), np.int64, len(owner)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), terms, times], names=["doc_id", "term", "tf"])
+
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {id_type}, term string, tf long")
 
 
 def idf_smooth(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
