@@ -118,6 +118,6 @@ links AS MATERIALIZED (SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q
 reached(doc_id, other) AS (
   SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.other
 )
-SELECT doc_id, any_value(n.n) AS n_shingles, min(other) AS component_id FROM n JOIN reached USING (doc_id) GROUP BY doc_id
+SELECT doc_id, any_value(n.n) AS n_shingles, min(other) AS component_id, (SELECT count(*) FROM links l WHERE l.x = doc_id) AS n_links FROM n JOIN reached USING (doc_id) GROUP BY doc_id
 """,
 }
