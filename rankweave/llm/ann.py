@@ -116,8 +116,13 @@ def _doubles(rows: list) -> np.ndarray:
     return np.array(rows, np.float64)
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, which is exact, so that no square overflows."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
-    scaled = v / np.abs(v).max(1, keepdims=True)
+    scaled = _scaled(v)
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
@@ -179,14 +184,14 @@ def search(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
         directions = plan.value[1]
         rep = np.array(vectors.column("rep").to_pylist(), np.int64)
         order = np.argsort(rep)  # by id, so that a stable order by score leaves ties to the smaller
-        v = np.frombuffer(b"".join(vectors.column("bytes").to_pylist()), np.float64).reshape(-1, dims)[order]
+        v = _scaled(np.frombuffer(b"".join(vectors.column("bytes").to_pylist()), np.float64).reshape(-1, dims)[order])
         rep = rep[order]
         norm = np.sqrt(np.einsum("ij,ij->i", v, v))
         projected = _unit(v) @ directions
         size = (projected * projected).sum(1)
         got: list[tuple[int, int, float]] = []
         for q, raw, near in zip(*(asked.column(c).to_pylist() for c in ("q", "bytes", "bound")), strict=True):
-            x = np.frombuffer(raw, np.float64)
+            x = _scaled(np.frombuffer(raw, np.float64)[None, :])[0]
             p = (_unit(x[None, :]) @ directions)[0]
             far = np.maximum(size + (p * p).sum() - 2 * (projected @ p), 0)
             by_distance = np.argsort(far, kind="stable")

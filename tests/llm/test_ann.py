@@ -75,3 +75,9 @@ def test_recall_on_the_tables(spark, data):
     expected = {q: {e[0] for e in nearest(ids, x, at[q], 5)} for q in got}
     assert len(got) == (ids % 50 == 0).sum()
     assert sum(len(got[q] & expected[q]) for q in got) / (5 * len(got)) >= 0.9
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(0, [1e300, 1e300]), (1, [1e-300, 0.0]), (2, [3e200, 4e200]), (3, [5e-324, 5e-324])]
+    got = {r.vec_id: r.score for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()}
+    assert got == {1: pytest.approx(2**-0.5), 2: pytest.approx(7 / (5 * 2**0.5)), 3: pytest.approx(1.0)}
