@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.session import cut
+
 
 WORD = re.compile(r"\w{2,}")
 
@@ -41,10 +43,10 @@ def term_counts(docs: DataFrame, doc_id: str, text: str, kind: str = "words") ->
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {id_type}, term string, tf long")
 
 
-def idf_smooth(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """(term, idf) with ln((1+N)/(1+df))+1; ``n_docs`` is one row (n)."""
+def idf_smooth(counts: DataFrame, n_docs: int) -> DataFrame:
+    """(term, idf) with ln((1+N)/(1+df))+1."""
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(n_docs)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    return df.select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
 def tfidf_weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
@@ -55,12 +57,17 @@ def tfidf_weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
 
 
 def tfidf_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text") -> DataFrame:
-    """(query_id, item_id, score) of all pairs that share a term."""
+    """(query_id, item_id, score) of all pairs that share a term.
+
+    Only documents' postings of the queries' terms are multiplied; the others count in the lengths alone.
+    """
     counts = term_counts(docs, doc_id, text)
-    idf = idf_smooth(counts, docs.agg(F.count(F.lit(1)).alias("n")))
-    items = tfidf_weights(counts, idf).withColumnRenamed("doc_id", "item_id")
+    idf = cut(idf_smooth(counts, docs.count()))
     asked = tfidf_weights(term_counts(queries, query_id, text), idf).select(F.col("doc_id").alias("query_id"), "term", F.col("w").alias("qw"))
-    return items.join(asked, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    raw = counts.join(idf, "term").select(F.col("doc_id").alias("item_id"), "term", (F.col("tf") * F.col("idf")).alias("x"))
+    size = raw.groupBy("item_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+    dots = raw.join(asked, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("x") * F.col("qw")).alias("dot"))
+    return dots.join(size, "item_id").select("query_id", "item_id", (F.col("dot") / F.col("size")).alias("score"))
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text", k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
@@ -68,14 +75,15 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", que
 
     A negative idf becomes ``floor`` times the mean idf; a query's repeated term counts repeatedly.
     """
+    length = F.size(F.split(text, " "))
+    n, total = docs.agg(F.count(F.lit(1)), F.sum(F.when(F.col(text).isNotNull(), length))).first()
     counts = term_counts(docs, doc_id, text, "spaced")
-    lengths = counts.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(lengths.agg(F.sum("len").alias("total")))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(stats.select("n"))).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    raw = cut(df.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
+    low = floor * (raw.agg(F.avg("raw")).first()[0] or 0.0)
+    idf = raw.select("term", F.when(F.col("raw") < 0, low).otherwise(F.col("raw")).alias("idf"))
     asked = term_counts(queries.withColumn(text, F.lower(text)), query_id, text, "spaced").select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("times"))
-    hit = counts.join(asked.join(idf, "term"), "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") * F.col("n") / F.col("total")))
+    lengths = docs.select(F.col(doc_id).alias("doc_id"), length.alias("len"))
+    hit = counts.join(asked.join(idf, "term"), "term").join(lengths, "doc_id")
+    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") * n / (total or 1)))
     return hit.groupBy("query_id", F.col("doc_id").alias("item_id")).agg(F.sum(part).alias("score"))
