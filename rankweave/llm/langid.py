@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.textbatch import code_points, column, slices, starts_of, sums, use_memory
+from rankweave.llm.textbatch import code_points, column, slices, starts_of, sums, trimmed, use_memory
 
 ALPHABET = 64  #: 0 is any run of non-letters, the last any letter that is rare in the samples
 WINDOW = 4096
@@ -118,7 +118,8 @@ def _parsers(key: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for sample in samples:
         steps = suffix_automaton(sample)
         start = rows + len(steps)  # from here, and after a symbol that the sample lacks, every symbol begins a phrase
-        root = np.full(ALPHABET, start * ALPHABET * 2 + 1, np.int64)
+        kind = np.int32 if (start + 1) * ALPHABET * 2 < 2**31 else np.int64
+        root = np.full(ALPHABET, start * ALPHABET * 2 + 1, kind)
         for c, s in steps[0].items():
             root[c] = (rows + s) * ALPHABET * 2 + 1
         table = np.tile(root, (len(steps) + 1, 1))
@@ -127,7 +128,7 @@ def _parsers(key: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 table[i, c] = (rows + s) * ALPHABET * 2
         roots.append(start * ALPHABET * 2)
         rows += len(steps) + 1
-        tables.append(table.astype(np.int32 if rows * ALPHABET * 2 < 2**31 else np.int64))
+        tables.append(table)
     bits = np.array([np.log2(len(s) + 2) for s in samples])
     return np.concatenate(tables).ravel(), np.array(roots, np.int64), bits
 
@@ -222,7 +223,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(bits)], names=[*names, *added.names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{fields}, lang_pred string, score double, bits_per_symbol double")
+    return base.mapInArrow(trimmed(run), f"{fields}, lang_pred string, score double, bits_per_symbol double")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -31,7 +31,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rankweave.llm.textbatch import column, slices, use_memory
+from rankweave.llm.textbatch import column, slices, trimmed, use_memory
 
 WINDOW = 2048
 PART = 512  #: what remains of a document is cut into equal parts of at most so many ids
@@ -234,4 +234,4 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return docs.select(doc_id, text).mapInArrow(trimmed(run), schema)

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.textbatch import code_points, column, slices, starts_of, sums, use_memory
+from rankweave.llm.textbatch import code_points, column, slices, starts_of, sums, trimmed, use_memory
 
 BUCKETS = 1024
-BATCH_CHARS = 800_000
+BATCH_CHARS = 500_000
 FULL_WORDS = 12  #: words from which a text speaks for itself
 LABELLERS = ("symbols", "lone_marks", "capitals", "echo", "runs", "shouting", "sentences", "marked_words")
 GAP, LOWER, UPPER, DIGIT, STOP, LINE, OTHER = range(7)  #: shapes; further marks have their own
@@ -224,7 +224,7 @@ def _votes(docs: DataFrame, text: str) -> DataFrame:
                 kinds, counts = np.unique(votes, axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in kinds], pa.binary()), pa.array(counts.astype(np.int64))], names=["pattern", "n"])
 
-    return docs.select(text).mapInArrow(run, "pattern binary, n long")
+    return docs.select(text).mapInArrow(trimmed(run), "pattern binary, n long")
 
 
 def train(docs: DataFrame, text: str = "text", train_docs: int = 2000) -> QualityModel:
@@ -254,7 +254,7 @@ def train(docs: DataFrame, text: str = "text", train_docs: int = 2000) -> Qualit
                     names=["h", "votes", "features"],
                 )
 
-    best = rows.mapInArrow(run, "h long, votes binary, features binary").orderBy("h", "features").limit(train_docs).collect()
+    best = rows.mapInArrow(trimmed(run), "h long, votes binary, features binary").orderBy("h", "features").limit(train_docs).collect()
     found = np.array([np.frombuffer(r["votes"], np.int8) for r in best], np.int8).reshape(-1, len(LABELLERS))
     features = np.array([np.frombuffer(r["features"], np.float32) for r in best], np.float32).reshape(-1, BUCKETS)
     weights, bias = fit_linear(features, weak.posterior(found))
@@ -280,4 +280,4 @@ def classify(docs: DataFrame, model: QualityModel, text: str = "text", threshold
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(posterior), pa.array(score >= threshold)], names=[*names, *added])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{fields}, quality_score double, weak_posterior double, kept boolean")
+    return base.mapInArrow(trimmed(run), f"{fields}, quality_score double, weak_posterior double, kept boolean")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,6 +49,25 @@ def column(batch: pa.RecordBatch, name: str) -> list:
 _HELD: dict[str, Callable[[], None]] = {}
 
 
+def trim() -> None:
+    """Gives memory that the allocators keep back to the system, as far as they can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches that trims once its task's batches are done."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def use_memory(name: str, clear: Callable[[], None] = lambda: None) -> None:
     """Announces an operator that keeps tables between the tasks of a Python worker.
 
@@ -55,4 +75,5 @@ def use_memory(name: str, clear: Callable[[], None] = lambda: None) -> None:
     """
     for other in [k for k in _HELD if k != name]:
         _HELD.pop(other)()
+        trim()
     _HELD[name] = clear
