@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.sampling import key
-from rankweave.operators.scoring import gather, matrix, ranked, topk
+from rankweave.operators.scoring import QUERY_BLOCK, gather, matrix, negative_l2, query_blocks, ranked, topk
 from rankweave.session import cut
 
 
@@ -249,25 +249,68 @@ def standardised(scores: DataFrame) -> DataFrame:
     return scores.crossJoin(F.broadcast(stats)).withColumn("score", F.when(F.col("s") > 0, (F.col("score") - F.col("m")) / F.col("s")).otherwise(0.0)).drop("m", "s")
 
 
-def medoid(vectors_: DataFrame) -> DataFrame:
-    """The vector whose distances to all of a bounded sample sum up to the least."""
-    rows = vectors_.orderBy(key(1, F.col("id")), "id").limit(2000).select("id", "e").collect()
-    e = np.array([r["e"] for r in rows], np.float64)
-    total = np.array([np.sqrt(((e - x) ** 2).sum(1)).sum() for x in e])
-    ids = np.array([r["id"] for r in rows])
-    return vectors_.where(F.col("id") == int(ids[np.lexsort((ids, total))[0]]))
-
-
-def k_medoids(vectors_: DataFrame, k: int, seed: int, rounds: int = 20, sample: int = 2000) -> DataFrame:
-    """(id) of k medoids of a bounded sample, by alternating assignment and choice."""
-    rows = vectors_.orderBy(key(seed, F.col("id")), "id").limit(sample).select("id", "e").collect()
-    ids, e = np.array([r["id"] for r in rows]), np.array([r["e"] for r in rows], np.float64)
-    d = np.sqrt(np.maximum((e * e).sum(1)[:, None] + (e * e).sum(1) - 2 * e @ e.T, 0))
-    now = np.arange(min(k, len(ids)))
-    for _ in range(rounds):
-        near = now[np.argmin(d[:, now], axis=1)]
-        new = np.array([(m := np.flatnonzero(near == c))[np.argmin(d[np.ix_(m, m)].sum(1))] for c in now])
-        if (new == now).all():
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The place of each row's nearest centre, ties to the first."""
+    return np.argmax(negative_l2(centres, x), axis=0)
+
+
+def _distance_sums(vectors_: DataFrame, blocks: list, centres: np.ndarray) -> DataFrame:
+    """(id, cell, total): each vector's nearest centre, and the sum of its distances to all vectors of that cell.
+
+    ``blocks`` are broadcast parts of the same vectors, as in ``scoring.topk``: each task meets one at a time.
+    """
+    parts = []
+    for sent in blocks:
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            block = sent.value
+            theirs = _nearest(block, centres)
+            cells = [block[theirs == c] for c in range(len(centres))]
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = np.array(b.column(1).to_pylist(), np.float64)
+                mine = _nearest(x, centres)
+                total = [-negative_l2(v[None], cells[c]).sum() for v, c in zip(x, mine, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(mine.astype(np.int32)), pa.array(total, pa.float64())], names=["id", "cell", "total"])
+
+        parts.append(vectors_.select(F.col("id").cast("long"), F.col("e").cast("array<double>")).mapInArrow(run, "id long, cell int, total double"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("id", "cell").agg(F.round(F.sum("total"), 9).alias("total"))
+
+
+def _sent(vectors_: DataFrame, size: int) -> list:
+    context = vectors_.sparkSession.sparkContext
+    return [context.broadcast(matrix) for _, matrix in query_blocks(vectors_, "id", "e", size)]
+
+
+def medoid(vectors_: DataFrame, size: int = QUERY_BLOCK) -> DataFrame:
+    """The vector whose distances to all vectors sum up to the least, ties (to 9 digits) to the smaller id; ``size`` is a block's."""
+    blocks = _sent(vectors_, size)
+    if not blocks:
+        return vectors_.where("false")
+    sums = _distance_sums(vectors_, blocks, np.zeros((1, blocks[0].value.shape[1])))
+    return vectors_.where(F.col("id") == sums.agg(F.min(F.struct("total", "id")).alias("m")).first()["m"]["id"])
+
+
+def k_medoids(vectors_: DataFrame, k: int, seed: int, rounds: int = 20, size: int = QUERY_BLOCK) -> DataFrame:
+    """(id) of k medoids, by alternating assignment and choice over all vectors; the first k in hashed order start.
+
+    A medoid that equals an earlier one has no cell and stays.  Each round sums the distances within cells.
+    """
+    rows = vectors_.orderBy(key(seed, F.col("id")), "id").limit(k).select("id", "e").collect()
+    now = [int(r["id"]) for r in rows]
+    held = {int(r["id"]): r["e"] for r in rows}
+    blocks = _sent(vectors_, size) if now else []
+    for _ in range(rounds if now else 0):
+        sums = _distance_sums(vectors_, blocks, np.array([held[i] for i in now], np.float64))
+        least = sums.groupBy("cell").agg(F.min(F.struct("total", key(seed, F.col("id")).alias("key"), "id")).alias("m")).collect()
+        found = {r["cell"]: int(r["m"]["id"]) for r in least}
+        new = [found.get(c, i) for c, i in enumerate(now)]
+        if new == now:
             break
+        held |= {int(r["id"]): r["e"] for r in vectors_.where(F.col("id").isin(new)).select("id", "e").collect()}
         now = new
-    return vectors_.sparkSession.createDataFrame([(int(ids[i]),) for i in sorted(now)], "id long")
+    return vectors_.sparkSession.createDataFrame([(i,) for i in sorted(now)], "id long")
