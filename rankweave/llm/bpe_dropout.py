@@ -1,12 +1,12 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 A text's pieces come from merging neighbours, best piece first.  Each candidate merge is skipped if a
-hash of the seed, the word's variant, the word and the candidate's place in it falls below the rate,
-so one seed gives the same segmentation on every machine and run, and another seed another one.  With
-rate 0 the pieces are those of the model file's own encoder.
+hash of the seed, the text, the word's place in it and the candidate's place in the word falls below the
+rate, so one seed gives the same segmentation on every machine and run, and another seed another one.
+With rate 0 the pieces are those of the model file's own encoder.
 
-Words (a run of spaces with what follows it) do not share pieces, so each distinct word and variant is
-segmented once and remembered.  The variants of a word take turns along a text.  Short words are
+Words (a run of spaces with what follows it) do not share pieces.  With dropout each occurrence of a word
+is segmented on its own; at rate 0 each distinct word once, and it is remembered.  Short words are
 segmented many at a time with NumPy, a merge of each a round; long ones by an agenda (a heap).
 
 Defined results: null text: null ids.  Empty text: no ids.  A character without a piece becomes its
@@ -29,9 +29,8 @@ from pyspark.sql import DataFrame
 from rankweave.llm.textbatch import code_points, column, slices, starts_of, use_memory
 
 SPACE = "▁"
-VARIANTS = 4
 LONG = 48  #: characters from which a word goes to the agenda
-KEEP = 500_000  #: words remembered, of each variant
+KEEP = 500_000  #: words remembered at rate 0
 BATCH_CHARS = 4_000_000
 NEVER = np.int64(1) << np.int64(60)
 _WORDS = re.compile(r" *[^ \n]+|\n| +")
@@ -218,26 +217,24 @@ def _skipped(key: int, first: int, middle: int, stop: int, bar: int) -> bool:
 
 
 class DropoutEncoder:
-    """An encoder with a seed and a rate, which remembers words."""
+    """An encoder with a seed and a rate; at rate 0 it remembers words."""
 
     def __init__(self, model: MergeModel, seed: int = 0, rate: float = 0.1) -> None:
         self.model, self.seed, self.rate = model, seed, rate
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS if rate > 0 else 1)]
-
-    def _learn(self, variant: int, words: set[str]) -> None:
-        known = self.known[variant]
-        if len(known) + len(words) > KEEP:
-            known.clear()
-        todo = sorted(words)
-        short = [w for w in todo if len(w) < LONG and w != SPACE]
+        self.known: dict[str, bytes] = {}
+
+    def _segmented(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        out = [b""] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) < LONG and w != SPACE]
         for lo in range(0, len(short), 50_000):
             part = short[lo : lo + 50_000]
-            keys = np.array([_word_key(w, self.seed, variant) for w in part], np.uint64)
-            known.update(zip(part, self.model.segment([w.replace(" ", SPACE) for w in part], keys, self.rate), strict=True))
-        for w in todo:
-            if w not in known:
-                ids = self.model._bytes_of(SPACE) if w == SPACE else self.model.agenda(w.replace(" ", SPACE), _word_key(w, self.seed, variant), self.rate)
-                known[w] = np.array(ids, "<u4").tobytes()
+            for i, ids in zip(part, self.model.segment([words[i].replace(" ", SPACE) for i in part], keys[part], self.rate), strict=True):
+                out[i] = ids
+        for i, w in enumerate(words):
+            if w == SPACE or len(w) >= LONG:
+                ids = self.model._bytes_of(SPACE) if w == SPACE else self.model.agenda(w.replace(" ", SPACE), int(keys[i]), self.rate)
+                out[i] = np.array(ids, "<u4").tobytes()
+        return out
 
     def _words(self, text: str) -> list[str]:
         if not text:
@@ -248,29 +245,26 @@ class DropoutEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
-        v = len(self.known)
         words = [self._words(t) for t in texts]
-        turn = [zlib.crc32(t.encode("utf-8", "surrogatepass"), self.seed & 0xFFFFFFFF) % v for t in texts]
-        new: list[set[str]] = [set() for _ in range(v)]
-        for w, s in zip(words, turn, strict=True):
-            for j in range(v):
-                new[(s + j) % v].update(w[j::v])
-        held: list[dict[str, bytes]] = []
-        for i in range(v):
-            missing = new[i].difference(self.known[i])
-            if missing:
-                before = len(self.known[i])
-                self._learn(i, missing)
-                if len(self.known[i]) < before + len(missing):  # it was emptied
-                    self._learn(i, new[i].difference(self.known[i]))
-            held.append(self.known[i])
-        out = []
-        for w, s in zip(words, turn, strict=True):
-            ids: list[bytes] = [b""] * len(w)
-            for j in range(min(v, len(w))):
-                ids[j::v] = map(held[(s + j) % v].__getitem__, w[j::v])
-            out.append(b"".join(ids))
-        return out
+        if self.rate > 0:
+            return self._dropped(texts, words)
+        missing = set().union(*words).difference(self.known)
+        if len(self.known) + len(missing) > KEEP:
+            self.known.clear()
+            missing = set().union(*words)
+        todo = sorted(missing)
+        self.known.update(zip(todo, self._segmented(todo, np.zeros(len(todo), np.uint64)), strict=True))
+        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+
+    def _dropped(self, texts: list[str], words: list[list[str]]) -> list[bytes]:
+        """Every occurrence has a key of its own, made from its text and its place there."""
+        counts = np.array([len(w) for w in words], np.int64)
+        place = np.arange(counts.sum()) - np.repeat(starts_of(counts), counts)
+        of_text = np.array([_word_key(t, self.seed, 0) for t in texts], np.uint64)
+        keys = _hash(np.repeat(of_text, counts) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        got = self._segmented([w for some in words for w in some], keys)
+        edges = np.append(0, np.cumsum(counts)).tolist()
+        return [b"".join(got[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 @functools.lru_cache(maxsize=1)

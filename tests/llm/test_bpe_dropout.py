@@ -60,6 +60,22 @@ def test_seeds_vary_and_repeat(model):
     assert ids(single) == [model.chars[ord(c)] for c in "▁ab▁cd"]
 
 
+def test_each_occurrence_is_drawn_on_its_own(model):
+    encoder, end = B.DropoutEncoder(model, 1, 0.1), model.byte_ids[ord("\n")]
+    word = "internationalisation"
+    across = {tuple(ids(g)[: ids(g).index(end)]) for g in encoder.encode([f"{word}\n{i}" for i in range(400)])}
+    within, now = set(), []
+    for i in ids(encoder.encode([f"{word}\n" * 400])[0]):
+        if i == end:
+            within.add(tuple(now))
+            now = []
+        else:
+            now.append(i)
+    assert len(across) > 20 and len(within) > 20
+    alone = [encoder.encode([t])[0] for t in ODD]
+    assert alone == encoder.encode(ODD) == B.DropoutEncoder(model, 1, 0.1).encode(ODD)
+
+
 def test_frames(spark):
     df = spark.createDataFrame([(1, "Hello  world", "x"), (2, None, "y"), (3, "", None), (3, "", None), (4, "a▁b", "z")], "doc_id long, text string, ids string")
     out = B.decode(B.encode(df, PATH, seed=3, rate=0.3), PATH)
