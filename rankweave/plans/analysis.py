@@ -70,7 +70,7 @@ walk(source, node, dist) AS (SELECT id, id, 0 FROM sources UNION SELECT source,
 def _balls(spark: SparkSession, d: str) -> DataFrame:
     from rankweave.operators.graphs import distances, knn_graph
 
-    return distances(knn_graph(nodes(spark, d).select("id", "e"), 5), _positives(spark, d).select(F.col("item_id").alias("source")).distinct(), 3)
+    return distances(knn_graph(nodes(spark, d).select("id", "e"), 5, index="exact"), _positives(spark, d).select(F.col("item_id").alias("source")).distinct(), 3)
 
 
 @query(f"WITH RECURSIVE {HARD}, {DIST} SELECT h.query_id, h.rk, h.neg_id, min(dist) + 1 AS nodes FROM h JOIN pos p ON p.query_id = h.query_id LEFT JOIN dist ON source = p.item_id AND node = neg_id WHERE rk <= 10 GROUP BY ALL")
@@ -92,7 +92,7 @@ def path_steps(spark: SparkSession, d: str) -> DataFrame:
     from rankweave.operators.graphs import knn_graph
 
     paths = exact(spark, d, 4).select("query_id", F.col("rk").alias("step"), F.col("item_id").alias("node"))
-    return negatives.path_steps(paths, knn_graph(nodes(spark, d).select("id", "e"), 5), 8)
+    return negatives.path_steps(paths, knn_graph(nodes(spark, d).select("id", "e"), 5, index="exact"), 8)
 
 
 @query(f"WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY {md5_key(13, 'doc_id')}, doc_id) AS r FROM documents) SELECT doc_id, CASE WHEN r <= ceil((SELECT count(*) FROM documents) * (1 - 0.2)) THEN 'train' ELSE 'dev' END AS part FROM k")

@@ -163,7 +163,7 @@ def masked_search(spark: SparkSession, d: str) -> DataFrame:
     """Search, approximate scores from what it saw, and search again without the items that look bad."""
     train, test = _split(spark, d)
     start = composed.entries("random", test.select("query_id").distinct(), items(spark, d), 4, seed=1)
-    edges = graphs.knn_graph(nodes(spark, d).select("id", "e"), 8)
+    edges = graphs.knn_graph(nodes(spark, d).select("id", "e"), 8, index="exact")
     seen = search.beam_search(start, edges, _scorer(spark, d), search.Plan(k=80, beam=8, budget=80))[0]
     guessed = composed.adaptive_scores(seen, train)
     found, cost = search.beam_search(start, edges, _scorer(spark, d), search.Plan(k=10, beam=8, budget=80), guessed, composed.adaptive_mask(guessed, 200))

@@ -28,7 +28,7 @@ DEGREE = 5
 
 
 def _knn(spark: SparkSession, d: str, k: int = DEGREE) -> DataFrame:
-    return graphs.knn_graph(nodes(spark, d).select("id", "e"), k)
+    return graphs.knn_graph(nodes(spark, d).select("id", "e"), k, index="exact")
 
 
 @query(f"WITH {KNN} SELECT src, dst, pos, round(score, 6) AS score FROM knn")
