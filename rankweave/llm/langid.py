@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.llm.textbatch import code_points, column, slices, starts_of, sums, trimmed, use_memory
@@ -179,19 +179,19 @@ def predict_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[s
 
 
 def train(docs: DataFrame, learn: Column, text: str = "text", label: str = "lang", docs_per_language: int = 60, chars_per_language: int = 40_000) -> LanguageModel:
-    """A model from a bounded sample: about ``docs_per_language`` rows by the hash of their text,
-    ``chars_per_language`` characters in equal shares of them.  Fewer rows than that: all of them.
+    """A model from a bounded sample: the ``docs_per_language`` distinct texts with a letter whose hashes are
+    smallest, ``chars_per_language`` characters in equal shares of them.  Fewer texts than that: all of them.
     """
-    usable = learn & F.col(label).isNotNull() & F.col(text).isNotNull()
-    counts = {r[0]: r[1] for r in docs.where(usable).groupBy(label).count().collect()}
-    if not counts:
+    usable = docs.where(learn & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(label).alias("l"), F.xxhash64(F.lit(17), F.col(text)).alias("x"), F.col(text).alias("t"))
+    hashed = F.pmod("x", F.lit(1 << 30))
+    first = F.row_number().over(Window.partitionBy("l").orderBy(hashed, "x"))  # a rank bound: each task keeps its first ones only
+    drawn = usable.select("l", "x").distinct().withColumn("n", first).where(F.col("n") <= docs_per_language).select("l", "x").collect()
+    if not drawn:
         return LanguageModel({})
-    grid = 1 << 30
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(int(min(1.0, 2 * docs_per_language / n) * grid)))])
-    hashed = F.pmod(F.xxhash64(F.lit(17), F.col(text)), F.lit(grid))
-    picked = docs.where(usable).where(hashed < share[F.col(label)]).select(F.col(label).alias("l"), F.col(text).alias("t"), hashed.alias("h"))
-    by: dict[str, dict[str, int]] = {k: {} for k in counts}
-    for r in picked.collect():
+    wanted = docs.sparkSession.createDataFrame([tuple(r) for r in drawn], "l string, x long")
+    picked = usable.join(F.broadcast(wanted), ["l", "x"]).groupBy("l", "x").agg(F.min("t").alias("t"))  # copies merge before they travel
+    by: dict[str, dict[str, int]] = {r["l"]: {} for r in drawn}
+    for r in picked.select("l", "t", hashed.alias("h")).collect():
         by[r["l"]][r["t"]] = r["h"]
     samples = {}
     for lang, found in by.items():

@@ -228,7 +228,7 @@ def _votes(docs: DataFrame, text: str) -> DataFrame:
 
 
 def train(docs: DataFrame, text: str = "text", train_docs: int = 2000) -> QualityModel:
-    """``train_docs`` bounds the rows, picked by the hash of their text, that fit the linear scorer;
+    """``train_docs`` bounds the distinct texts, picked by their hash, that fit the linear scorer;
     the labellers' accuracies come from all rows."""
     counted = _votes(docs, text).groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     votes = np.array([np.frombuffer(r["pattern"], np.int8) for r in counted], np.int8).reshape(-1, len(LABELLERS))
@@ -239,9 +239,11 @@ def train(docs: DataFrame, text: str = "text", train_docs: int = 2000) -> Qualit
     total = weight.sum()
     if not total:
         return QualityModel(weak, np.zeros(BUCKETS), 0.0)
-    grid = 1 << 30
-    hashed = F.pmod(F.xxhash64(F.lit(29), F.col(text)), F.lit(grid))
-    rows = docs.where(F.col(text).isNotNull()).where(hashed < int(min(1.0, 1.5 * train_docs / total) * grid)).select(F.col(text).alias("t"), hashed.alias("h"))
+    texts = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.lit(29), F.col(text)).alias("x"), F.col(text).alias("t"))
+    hashed = F.pmod("x", F.lit(1 << 30)).alias("h")
+    drawn = texts.select("x").distinct().orderBy(hashed, "x").limit(3 * train_docs // 2).collect()  # more than train_docs, as blank ones go
+    wanted = docs.sparkSession.createDataFrame([tuple(r) for r in drawn], "x long")
+    rows = texts.join(F.broadcast(wanted), "x").groupBy("x").agg(F.min("t").alias("t")).select("t", hashed)  # copies count once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_memory("quality")

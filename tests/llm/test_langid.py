@@ -57,6 +57,17 @@ def test_frames_with_nulls_clashing_columns_and_no_rows(spark):
     assert [r.h for r in df.select(langid.held_out().alias("h")).collect()][-1] is False
 
 
+def test_every_text_of_a_language_counts_once(spark):
+    words = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel"]
+    letterless = [(f"{i} !?", "cc") for i in range(200)]
+    for salt in range(4):
+        hot = [(f"{w} {salt}", "aa") for w in words for _ in range(300)]
+        df = spark.createDataFrame([*hot, *letterless, ("der Hund", "cc"), ("le chat", "bb")], "text string, lang string")
+        model = langid.train(df, F.lit(True))
+        assert model.languages == ["aa", "bb", "cc"]
+        assert all(bytes(1 + model.letters.index(c) for c in w) in model.samples[0] for w in words)
+
+
 def test_held_out_accuracy(spark, data):
     from rankweave.llm.queries import op1_language_id
 
