@@ -48,12 +48,12 @@ def test_agrees_with_given_labels(spark, data):
     assert out.agg(F.avg((F.col("kept").cast("int") == F.col("quality")).cast("double"))).first()[0] >= 0.95
 
 
-def test_copies_count_once_in_the_scorers_sample(spark):
+def test_copies_count_once_in_the_scorers_sample(spark, data):
     from pyspark.sql import functions as F
 
     from rankweave.llm import quality
 
-    df = spark.createDataFrame([(f"The quick {chr(97 + i % 26) * 5} foxes and {chr(97 + i // 26) * 6} jumped over them, as they do.",) for i in range(200)], "text string")
+    df = spark.read.parquet(f"{data}/documents.parquet").where(F.length("text") > 200).select("text").distinct()
     hot = df.orderBy(F.pmod(F.xxhash64(F.lit(29), F.col("text")), F.lit(1 << 30))).limit(1).localCheckpoint()
     many = df.unionByName(hot.crossJoin(spark.range(300)).select("text"))
     alone = (quality.train(hot, train_docs=40).weights != 0).sum()
