@@ -7,8 +7,12 @@ entropy in bits a symbol.  The language that needs the fewest normalised phrases
 
 The automaton with its restarts is a complete finite automaton: where a state has no transition for
 a symbol, the next phrase begins with that symbol.  So one table look-up a symbol gives
-the parse, and many windows of text are parsed side by side with NumPy.  A phrase ends at
-every ``WINDOW``-th symbol, whatever the batch, so that a text's parse depends on nothing else.
+the parse, and many windows of text are parsed side by side with NumPy.  Each window is parsed as if a
+phrase began with it; then the phrase that reaches into it is carried on until both parses begin a
+phrase at the same symbol, from where they are one.  So the windows do not show in the result.
+
+Every letter of a language's sample is a symbol of its automaton.  A letter that the sample lacks
+makes a phrase of its own whichever it is, so one symbol stands for all of these.
 
 Defined results: null text, or text without a letter: ``und`` with score 0.  No labelled rows at
 all: ``und`` with score 0 for every row.  Ties go to the language that sorts first.  Repeated rows
@@ -18,7 +22,6 @@ are each predicted alike.  Texts are read whole.
 from __future__ import annotations
 
 import functools
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,56 +31,49 @@ from pyspark.sql import functions as F
 
 from rankweave.llm.textbatch import code_points, column, slices, starts_of, sums, trimmed, use_memory
 
-ALPHABET = 64  #: 0 is any run of non-letters, the last any letter that is rare in the samples
-WINDOW = 4096
+WINDOW = 1024  #: symbols that are parsed one after the other; any number gives the same phrases
+DENSE = 24_000_000  #: entries of all languages' tables; the automata of larger alphabets or more languages are kept as sorted transitions
 BATCH_CHARS = 3_000_000
 
 
 class LanguageModel:
-    """The normalised sample of each language, in symbols; small enough to travel with the task."""
+    """The normalised sample of each language; small enough to travel with the task."""
 
     def __init__(self, samples: dict[str, str]) -> None:
-        letters = Counter(c for s in samples.values() for c in s.lower() if c.isalpha())
-        ranked = sorted(letters, key=lambda c: (-letters[c], c))[: ALPHABET - 2]
-        self.letters = "".join(sorted(ranked))
         self.languages = sorted(samples)
-        table = _symbols(self.letters)
         self.samples = []
         for lang in self.languages:
             flat, lengths = code_points([samples[lang]])
-            symbols, _, _ = _normalised(flat, lengths, table)
-            self.samples.append(symbols.tobytes())
+            letters, _, _ = _normalised(_letters()[flat], lengths)
+            self.samples.append(np.where(letters == 0, 32, letters).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"))
 
     @property
     def key(self) -> tuple:
-        return (self.letters, *self.languages, *self.samples)
+        return (*self.languages, *self.samples)
 
 
-@functools.lru_cache(maxsize=2)
-def _symbols(letters: str) -> np.ndarray:
-    """The symbol of every code point."""
-    rank = {c: i + 1 for i, c in enumerate(letters)}
-    rare = ALPHABET - 1
-    out = np.zeros(0x110000, np.uint8)
+@functools.lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """The lower-case letter of every code point; 0 for what is no letter."""
+    out = np.zeros(0x110000, np.uint32)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
-            out[cp] = rank.get(c.lower()[:1], rare)
+            out[cp] = ord(c.lower()[0])
     return out
 
 
-def _normalised(flat: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols without leading or repeated gaps; how many each text has, and how many are letters."""
-    symbols = table[flat]
-    before = np.zeros_like(symbols)
-    before[1:] = symbols[:-1]
-    full = lengths > 0
-    before[starts_of(lengths)[full]] = 0
-    keep = (symbols | before) != 0
-    return symbols[keep], sums(keep, lengths), sums(symbols != 0, lengths)
+def _normalised(letters: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters, and 0 for each run of others that follows a letter; how many of both each text has, and how many letters."""
+    gap = letters == 0
+    before = np.zeros(len(letters), bool)
+    before[1:] = ~gap[:-1]
+    before[starts_of(lengths)[lengths > 0]] = False
+    keep = ~gap | before
+    return letters[keep], sums(keep, lengths), sums(~gap, lengths)
 
 
-def suffix_automaton(symbols: bytes) -> list[dict[int, int]]:
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     """Transitions of each state of the automaton of all factors of ``symbols``; state 0 starts."""
     step: list[dict[int, int]] = [{}]
     link, longest, last = [-1], [0], 0
@@ -107,56 +103,112 @@ def suffix_automaton(symbols: bytes) -> list[dict[int, int]]:
     return step
 
 
-@functools.lru_cache(maxsize=2)
-def _parsers(key: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One table for all languages, each one's start, and the bits that a phrase costs.
+class Parser:
+    """One language's automaton with restarts.
 
-    An entry holds twice the offset of the next state's row, plus 1 if the symbol begins a phrase.
+    A state is twice its number, plus 1 if the last symbol began a phrase; symbol 0 is a gap, the last one
+    any letter that the sample lacks.
     """
-    samples = key[1 + (len(key) - 1) // 2 :]
-    tables, roots, rows = [], [], 0
-    for sample in samples:
-        steps = suffix_automaton(sample)
-        start = rows + len(steps)  # from here, and after a symbol that the sample lacks, every symbol begins a phrase
-        kind = np.int32 if (start + 1) * ALPHABET * 2 < 2**31 else np.int64
-        root = np.full(ALPHABET, start * ALPHABET * 2 + 1, kind)
+
+    def __init__(self, sample: str, room: int) -> None:
+        known = sorted(set(sample) - {" "})
+        self.bits = np.log2(len(sample) + 2)
+        self.width = len(known) + 2
+        number = {c: i + 1 for i, c in enumerate(known)} | {" ": 0}
+        own = np.full(0x110000, self.width - 1, np.uint16 if self.width < 65536 else np.uint32)
+        own[0] = 0
+        own[[ord(c) for c in known]] = np.arange(1, len(known) + 1)
+        self.symbol_of = own
+        steps = suffix_automaton([number[c] for c in sample])
+        self.start = 2 * len(steps)  # here, and after a symbol that the sample lacks, every symbol begins a phrase
+        self.root = np.full(self.width, self.start + 1, np.int64)
         for c, s in steps[0].items():
-            root[c] = (rows + s) * ALPHABET * 2 + 1
-        table = np.tile(root, (len(steps) + 1, 1))
-        for i, step in enumerate(steps):
-            for c, s in step.items():
-                table[i, c] = (rows + s) * ALPHABET * 2
-        roots.append(start * ALPHABET * 2)
-        rows += len(steps) + 1
-        tables.append(table)
-    bits = np.array([np.log2(len(s) + 2) for s in samples])
-    return np.concatenate(tables).ravel(), np.array(roots, np.int64), bits
+            self.root[c] = 2 * s + 1
+        self.table = None
+        if (len(steps) + 1) * self.width <= room:
+            self.table = np.tile(self.root.astype(np.int32), (len(steps) + 1, 1))
+            for i, step in enumerate(steps):
+                for c, s in step.items():
+                    self.table[i, c] = 2 * s
+            self.table = self.table.ravel()
+        else:
+            told = np.array(sorted((i * self.width + c, 2 * s) for i, step in enumerate(steps) for c, s in step.items()), np.int64).reshape(-1, 2)
+            self.keys, self.next = np.append(told[:, 0], np.iinfo(np.int64).max), np.append(told[:, 1], 0)
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        at = (state >> 1) * self.width + symbols
+        if self.table is not None:
+            return self.table.take(at)
+        place = np.searchsorted(self.keys, at)
+        return np.where(self.keys[place] == at, self.next[place], self.root[symbols])
+
+
+@functools.lru_cache(maxsize=2)
+def _parsers(key: tuple) -> list[Parser]:
+    samples = key[len(key) // 2 :]
+    return [Parser(s, DENSE // len(samples)) for s in samples]
+
+
+def _window_phrases(parser: Parser, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each window of consecutive symbols; ``later`` windows carry on their predecessor's text."""
+    order = np.argsort(-size, kind="stable")
+    first, room = begin[order], size[order]
+    state, count = np.full(len(order), parser.start, np.int64), np.zeros(len(order), np.int64)
+    begins = np.zeros(len(symbols), bool) if later.any() else None
+    open_ = len(order) - np.searchsorted(room[::-1], np.arange(room[0] if len(room) else 0), "right")
+    for t, n in enumerate(open_.tolist()):
+        at = first[:n] + t
+        state[:n] = parser.step(state[:n], symbols[at])
+        new = state[:n] & 1
+        count[:n] += new
+        if begins is not None:
+            begins[at] = new
+    if begins is None:
+        out = np.zeros(len(order), np.int64)
+        out[order] = count
+        return out
+    supposed, ends = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    supposed[order], ends[order] = count, state
+    out, reached = supposed.copy(), ends.copy()
+    todo = np.flatnonzero(later)
+    while len(todo):
+        lane, state = todo, reached[todo - 1]
+        count, passed, last = np.zeros(len(todo), np.int64), np.zeros(len(todo), np.int64), reached[todo]
+        t = 0
+        while len(lane):
+            at = begin[lane] + t
+            state = parser.step(state, symbols[at])
+            new, old = state & 1, begins[at]
+            count += new
+            passed += old
+            t += 1
+            one = (new & old) == 1
+            over = ~one & (t == size[lane])
+            out[lane[one]] = (count + supposed[lane] - passed)[one]
+            reached[lane[one]] = ends[lane[one]]
+            out[lane[over]], reached[lane[over]] = count[over], state[over]
+            on = ~(one | over)
+            lane, state, count, passed = lane[on], state[on], count[on], passed[on]
+        after = todo[reached[todo] != last] + 1
+        after = after[after < len(later)]
+        todo = after[later[after]]
+    return out
 
 
 def phrases(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Phrases of each language and text, and each text's symbols and letters."""
-    table, roots, _ = _parsers(model.key)
     flat, lengths = code_points(texts)
-    symbols, kept, letters = _normalised(flat, lengths, _symbols(model.letters))
+    letters, kept, many = _normalised(_letters()[flat], lengths)
     windows = -(-kept // WINDOW)
     owner = np.repeat(np.arange(len(texts)), windows)
     nth = np.arange(len(owner)) - np.repeat(starts_of(windows), windows)
     begin = starts_of(kept)[owner] + nth * WINDOW
     size = np.minimum(kept[owner] - nth * WINDOW, WINDOW)
-    order = np.argsort(-size, kind="stable")
-    begin, size, owner = begin[order], size[order], owner[order]
-    state = np.repeat(roots[:, None], len(owner), axis=1)
-    count = np.zeros(state.shape, np.int64)
-    open_ = len(owner) - np.searchsorted(size[::-1], np.arange(size[0] if len(size) else 0), "right")
-    for t, n in enumerate(open_):
-        at = state[:, :n] >> 1
-        at += symbols[begin[:n] + t]
-        state[:, :n] = table.take(at)
-        count[:, :n] += state[:, :n] & 1
-    out = np.zeros((len(roots), len(texts)), np.int64)
-    for i in range(len(roots)):
-        out[i] = np.bincount(owner, weights=count[i], minlength=len(texts)).astype(np.int64)
-    return out, kept, letters
+    out = np.zeros((len(model.languages), len(texts)), np.int64)
+    for i, parser in enumerate(_parsers(model.key)):
+        count = _window_phrases(parser, parser.symbol_of[letters], begin, size, nth > 0)
+        out[i] = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
+    return out, kept, many
 
 
 def predict_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -164,7 +216,7 @@ def predict_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[s
     if not model.languages:
         return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     count, kept, letters = phrases([t or "" for t in texts], model)
-    cost = count * _parsers(model.key)[2][:, None] / np.maximum(kept, 1)
+    cost = count * np.array([p.bits for p in _parsers(model.key)])[:, None] / np.maximum(kept, 1)
     best = np.argmin(cost, axis=0)
     cols = np.arange(len(texts))
     first = cost[best, cols]

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rankweave.llm import langid
@@ -6,29 +7,50 @@ from rankweave.llm import langid
 SAMPLES = {"aa": "the cat and the hat sat on the mat with that bat " * 5, "bb": "le chat et la souris ont bu un peu de lait hier " * 5}
 
 
-def brute(symbols, sample):
-    """Greedy longest matches; a phrase also begins at every WINDOW-th symbol."""
+def normalised(text):
+    out = ""
+    for c in text:
+        c = c.lower()[0] if c.isalpha() else " "
+        if c != " " or (out and out[-1] != " "):
+            out += c
+    return out
+
+
+def brute(text, sample):
+    """Greedy longest matches over the whole text."""
     n = i = 0
-    while i < len(symbols):
-        end = min(len(symbols), (i // langid.WINDOW + 1) * langid.WINDOW)
+    while i < len(text):
         j = i + 1
-        while j < end and symbols[i : j + 1] in sample:
+        while j < len(text) and text[i : j + 1] in sample:
             j += 1
         i, n = j, n + 1
     return n
 
 
-def test_phrases_are_greedy_longest_matches():
-    model = langid.LanguageModel(SAMPLES)
+@pytest.mark.parametrize(("window", "dense"), [(langid.WINDOW, langid.DENSE), (7, langid.DENSE), (64, 0), (langid.WINDOW, 0)])
+def test_phrases_are_greedy_longest_matches(monkeypatch, window, dense):
+    monkeypatch.setattr(langid, "WINDOW", window)
+    monkeypatch.setattr(langid, "DENSE", dense)
+    langid._parsers.cache_clear()
     rng = np.random.default_rng(1)
-    texts = ["", "  ", "the cat", "xyz ß漢字 qq", "Le CHAT, et la!! souris", "a" * 5000, "the mat and " * 900]
+    many = "".join(chr(0x4E00 + i) for i in rng.integers(0, 300, 2000))  # far more letters than any Latin script
+    model = langid.LanguageModel(SAMPLES | {"cc": many, "dd": "aaa b " + "ab" * 40})
+    texts = ["", "  ", "the cat", "xyz ß漢字 qq", "Le CHAT, et la!! souris", "a" * 5000, "ab" * 3000, "the mat and " * 900, many[500:1700] + many[:900], "İstanbul ǅ"]
     texts += ["".join(rng.choice(list("the catx et "), 300)) for _ in range(20)]
     count, kept, letters = langid.phrases(texts, model)
+    assert model.samples[2] == many
     for k, t in enumerate(texts):
-        flat, lengths = langid.code_points([t])
-        symbols = langid._normalised(flat, lengths, langid._symbols(model.letters))[0].tobytes()
-        assert kept[k] == len(symbols) and letters[k] == sum(c.isalpha() for c in t)
-        assert [brute(symbols, s) for s in model.samples] == count[:, k].tolist()
+        assert kept[k] == len(normalised(t)) and letters[k] == sum(c.isalpha() for c in t)
+        assert [brute(normalised(t), s) for s in model.samples] == count[:, k].tolist()
+    langid._parsers.cache_clear()
+
+
+def test_scripts_with_many_letters_are_told_apart():
+    """All letters are told apart, not the most frequent ones only."""
+    rng = np.random.default_rng(2)
+    one, two = ("".join(chr(b + i) for i in rng.integers(0, 400, 4000)) for b in (0x4E00, 0x6000))
+    model = langid.LanguageModel({"aa": SAMPLES["aa"] * 30, "one": one, "two": two})
+    assert langid.predict_texts([one[100:160], two[70:90], one[5:8], two[9:11]], model)[0] == ["one", "two", "one", "two"]
 
 
 def test_a_text_is_predicted_alike_in_any_batch():
@@ -65,7 +87,7 @@ def test_every_text_of_a_language_counts_once(spark):
         df = spark.createDataFrame([*hot, *letterless, ("der Hund", "cc"), ("le chat", "bb")], "text string, lang string")
         model = langid.train(df, F.lit(True))
         assert model.languages == ["aa", "bb", "cc"]
-        assert all(bytes(1 + model.letters.index(c) for c in w) in model.samples[0] for w in words)
+        assert all(w in model.samples[0] for w in words)
 
 
 def test_held_out_accuracy(spark, data):
