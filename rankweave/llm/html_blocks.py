@@ -8,6 +8,8 @@ from __future__ import annotations
 import html as entities
 import re
 
+from rankweave.llm.html_tokens import end_of_element, tags as tags_of
+
 #: HTML's names of elements.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li link main menu meta nav noframes noscript object ol optgroup option p pre section select summary table tbody td template tfoot th thead title tr ul".split()
@@ -18,7 +20,6 @@ CLOSES_P = BLOCKS - frozenset("button label option select head html body".split(
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody"), "thead": ("tbody",), "tfoot": ("tbody",)}
 SCOPES = frozenset("article aside body div dl footer form header html main nav ol section table td th ul".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -35,7 +36,7 @@ def _label(tag: str, attributes: str) -> str:
     if "=" not in attributes:
         return tag
     words = [w.lower() for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")]
-    return " ".join([tag, *words[:8]])
+    return " ".join([tag, *words])
 
 
 def blocks(html: str) -> list[Block]:
@@ -46,7 +47,6 @@ def blocks(html: str) -> list[Block]:
     parts: list[str] = []
     path: tuple[str, ...] | None = None
     in_link, linked, at = 0, 0, 0
-    size = len(html)
 
     def flush() -> None:
         nonlocal linked, path
@@ -73,35 +73,36 @@ def blocks(html: str) -> list[Block]:
                 return -1
         return -1
 
-    while at < size:
-        m = _TOKEN.search(html, at)
-        end = m.start() if m else size
-        if end > at:
-            piece = html[at:end]
-            if path is None and not piece.isspace():
-                path = tuple(x for x in labels if x in BLOCKS or " " in x or "-" in x)
-            parts.append(piece)
-            if in_link:
-                linked += len(piece.strip())
-        if not m:
+    def text(piece: str) -> None:
+        nonlocal path, linked
+        if path is None and not piece.isspace():
+            path = tuple(x for x in labels if x in BLOCKS or " " in x or "-" in x)
+        parts.append(piece)
+        if in_link:
+            linked += len(piece.strip())
+
+    found, jump = tags_of(html), None
+    while True:
+        try:
+            begin, end, closing, tag, attributes = found.send(jump)
+        except StopIteration:
             break
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        jump = None
+        if begin > at:
+            text(html[at:begin])
+        at = end
+        if not tag:
             continue
-        tag = name.lower()
-        if m[1] or m[4]:
+        if closing:
             if tag in BLOCKS:
                 flush()
             k = last((tag,), frozenset() if tag in SCOPES else SCOPES)
             if k >= 0:
                 close(k)
             continue
-        attributes = m[3] if m[2] else m[6]
         if tag in UNSEEN:
             if not attributes.endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
-                at = stop.end() if stop else size
+                at = jump = end_of_element(html, tag, at)[1]
             if tag in BLOCKS:
                 flush()
             continue
@@ -118,5 +119,7 @@ def blocks(html: str) -> list[Block]:
             labels.append(_label(tag, attributes))
             if tag == "a":
                 in_link += 1
+    if at < len(html):
+        text(html[at:])
     flush()
     return out

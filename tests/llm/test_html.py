@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -16,6 +18,18 @@ def test_blocks_of_sound_and_broken_markup():
     assert len(deep) == 1 and len(blocks("<p>y" * 5000)) == 5000
 
 
+@pytest.mark.parametrize("piece", ["<!--", "<a ", "<p", "<title>", '<a "', '<a ">" ', "<a '\"", "</p"])
+def test_time_grows_with_the_page_only(piece):
+    began = time.process_time()
+    blocks(piece * 60_000)
+    blocks(piece * 60_000 + ">")
+    assert time.process_time() - began < 5
+
+
+def test_all_words_of_a_class_count():
+    assert blocks("<p class='a b c d e f g h i footer'>x</p>")[0].path == ("p a b c d e f g h i footer",)
+
+
 @pytest.fixture(scope="module")
 def labeller():
     return H.trained()
