@@ -26,17 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.llm.html_tokens import tags
 from rankweave.llm.textbatch import column, slices
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  #: the standard name space of URLs
 BATCH_BYTES = 8_000_000
 KEPT = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Filename", "WARC-Warcinfo-ID")
 
-_UNSEEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
-_LINK = re.compile(r"<(a|area|link|img|script|iframe|form)\b[^>]*?\s(href|src|action)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+_ADDRESS = re.compile(r"\s(href|src|action)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE = re.compile(r"<title\b[^>]*+>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
+LINKING = frozenset("a area link img script iframe form".split())
 
 
 def digest(data: bytes) -> str:
@@ -93,14 +95,27 @@ def read_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 
 def plain_text(html: str) -> str:
     """A page's visible text, a line for each block, white space inside lines as one space."""
-    text = _TAG.sub("", _BREAK.sub("\0", _UNSEEN.sub(" ", html)))
-    text = entities.unescape(text)
+    seen = _UNSEEN.sub(" ", html)
+    end = seen.rfind(">") + 1  # no tag ends behind it, so that none is looked for in vain
+    text = entities.unescape(_TAG.sub("", _BREAK.sub("\0", seen[:end])) + seen[end:])
     return "\n".join(line for part in text.split("\0") if (line := " ".join(part.split())))
 
 
 def links(html: str) -> list[dict[str, str]]:
-    seen = _UNSEEN.sub(" ", html)
-    return [{"path": f"{m[0].upper()}@/{m[1].lower()}", "url": entities.unescape(m[2] or m[3] or m[4])} for m in _LINK.findall(seen)]
+    """The first address of each linking tag outside scripts and the like."""
+    out = []
+    for _, _, closing, name, attributes in tags(_UNSEEN.sub(" ", html)):
+        if name in LINKING and not closing and (m := _ADDRESS.search(f" {attributes}")):
+            out.append({"path": f"{name.upper()}@/{m[1].lower()}", "url": entities.unescape(m[2] or m[3] or m[4] or "")})
+    return out
+
+
+def told(headers: list[tuple[str, str]]) -> dict[str, str | list[str]]:
+    """Headers by name; one that is repeated has all its values, in order."""
+    out: dict[str, str | list[str]] = {}
+    for k, v in headers:
+        out[k] = v if k not in out else [*(out[k] if isinstance(out[k], list) else [out[k]]), v]
+    return out
 
 
 def response(page_key: str, url: str | None, html: str | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
@@ -132,11 +147,11 @@ def derivatives(record: bytes | None) -> dict:
     payload_digest = by.get("warc-payload-digest") or digest(body)
     html = body.decode("utf-8", "replace")
     text, out_links = plain_text(html), links(html)
-    title = _TITLE.search(html)
+    title = _TITLE.search(html[: html.rfind(">") + 1])
     kept = [(k, v) for k, v in headers if k in KEPT]
     envelope = {
-        "source": {"headers": dict(headers), "block_digest": by.get("warc-block-digest") or digest(block), "payload_digest": payload_digest, "payload_length": len(body)},
-        "http": {"status": status, "headers": dict(http)},
+        "source": {"headers": told(headers), "block_digest": by.get("warc-block-digest") or digest(block), "payload_digest": payload_digest, "payload_length": len(body)},
+        "http": {"status": status, "headers": told(http)},
         "html": {"title": " ".join(entities.unescape(title[1]).split()) if title else None, "links": out_links},
     }
     about = json.dumps(envelope, ensure_ascii=False, separators=(",", ":"), sort_keys=True).encode()

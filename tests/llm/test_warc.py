@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 
@@ -36,6 +37,23 @@ def test_derivatives_keep_what_identifies_the_source():
     assert warc.derivatives(source) == d
 
 
+def test_repeated_headers_are_all_kept():
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a\r\nSet-Cookie: b\r\nX: y\r\n\r\n<a title='>' href='/q'>z</a> 1 <b"
+    d = warc.derivatives(warc.write_record([("WARC-Type", "response"), ("WARC-Record-ID", "<r>"), ("WARC-Protocol", "h2"), ("WARC-Protocol", "tls")], block))
+    about = json.loads(next(warc.read_records(d["metadata"]))[1])
+    assert about["http"]["headers"] == {"Set-Cookie": ["a", "b"], "X": "y"} and about["source"]["headers"]["WARC-Protocol"] == ["h2", "tls"]
+    assert about["html"]["links"] == [{"path": "A@/href", "url": "/q"}]
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<a ", "<p", "<title>", '<a href="', "<script>", "</p", "<a '>"])
+def test_time_grows_with_the_page_only(piece):
+    began = time.process_time()
+    warc.plain_text(piece * 60_000)
+    warc.links(piece * 60_000)
+    warc.derivatives(warc.response("1", None, piece * 20_000))
+    assert time.process_time() - began < 5
+
+
 def test_what_has_no_derivative():
     source = warc.response("7", None, None)
     assert warc.derivatives(source)["text"] == ""
