@@ -12,7 +12,7 @@ grouped step over the leaves; queries and vectors of a leaf meet in blocks of bo
 vectors are one class, searched once, with the ids that can be answers.
 
 Every vector is indexed.  Defined results: null, zero, and vectors holding null or non-finite
-components take no part, nor do those whose length differs from that of most.  Fewer candidates than
+components take no part; those of each length are searched among themselves.  Fewer candidates than
 wanted: all of them.  Ties of score go to the smaller id.  Null ids take no part.
 """
 
@@ -127,15 +127,24 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def search(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", seed: int = 7, confidence: float = CONFIDENCE) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query row its ``k`` nearest of all other rows, as found."""
+    """(query_id, rank, vec_id, score): for each query row its ``k`` nearest of all other rows, as found.
+
+    Vectors of different lengths have no cosine; those of each length are searched among themselves.
+    """
     spark = df.sparkSession
-    found_schema = "q long, rep long, ids array<long>, score double"
     base = df.where(F.col(vec_id).isNotNull() & usable(F.col(vector))).select(F.col(vec_id).cast("long").alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    lengths = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if lengths is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims = lengths["d"]
-    base = base.where(F.size("v") == dims)
+    lengths = sorted(r["d"] for r in base.select(F.size("v").alias("d")).distinct().collect())  # mostly one
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for i, dims in enumerate(lengths):
+        found = _search(base.where(F.size("v") == dims), dims, k, seed, confidence)
+        out = out.unionByName(found) if i else found
+    return out
+
+
+def _search(base: DataFrame, dims: int, k: int, seed: int, confidence: float) -> DataFrame:
+    """The same for usable vectors of one length; columns id, v and asks."""
+    spark = base.sparkSession
+    found_schema = "q long, rep long, ids array<long>, score double"
     wanted = k + 1
     nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     classes = base.withColumn("nth", nth).where(F.col("nth") <= wanted).groupBy("v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"))

@@ -63,6 +63,13 @@ def test_unusable_vectors_take_no_part(spark):
     assert ann.search(twice, F.col("vec_id") == 0).count() >= 1
 
 
+def test_each_length_is_searched(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0]), (50, [1.0, 0.0, 0.0]), (51, [1.0, 1.0, 0.0]), (100, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(df, F.col("vec_id") % 50 == 0).collect())
+    assert got == [(0, 1, 1), (0, 2, 2), (50, 1, 51)]
+
+
 def test_recall_on_the_tables(spark, data):
     from rankweave.llm.queries import op2_ann
 
