@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -34,9 +35,12 @@ def importable(spark: SparkSession) -> SparkSession:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed and kept in the folder of ``spark.checkpoint.dir``, which all machines share.
 
-    Only where the setting is missing, as in tests on one machine, a temporary folder serves.
+    Only where the setting is missing and all runs in one process, as in tests, a temporary folder serves.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rankweave-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rankweave-checkpoint-"))
     return df.checkpoint(eager=True)
