@@ -52,9 +52,10 @@ def test_copies_count_once_in_the_scorers_sample(spark, data):
     from pyspark.sql import functions as F
 
     from rankweave.llm import quality
+    from rankweave.session import cut
 
     df = spark.read.parquet(f"{data}/documents.parquet").where(F.length("text") > 200).select("text").distinct()
-    hot = df.orderBy(F.pmod(F.xxhash64(F.lit(29), F.col("text")), F.lit(1 << 30))).limit(1).localCheckpoint()
+    hot = cut(df.orderBy(F.pmod(F.xxhash64(F.lit(29), F.col("text")), F.lit(1 << 30))).limit(1))
     many = df.unionByName(hot.crossJoin(spark.range(300)).select("text"))
     alone = (quality.train(hot, train_docs=40).weights != 0).sum()
     assert (quality.train(many, train_docs=40).weights != 0).sum() > alone > 0
