@@ -20,6 +20,7 @@ import html as entities
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -235,13 +236,26 @@ def archives(df: DataFrame, columns: tuple[str, ...] = ("metadata", "conversion"
 
 
 def scan(files: DataFrame, content: str = "content") -> DataFrame:
-    """Every record of archive files (a column of their bytes, gzip members or plain): its type, id and bytes."""
+    """Every record of archive files (a column of their bytes, gzip members or plain): its type, id and bytes.
+
+    Where a file is damaged its records so far are given, then a row that has the ``problem`` only.
+    """
+
+    def read(data: bytes) -> Iterator[tuple]:
+        try:
+            plain = gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
+            for h, b in read_records(plain):
+                by = dict(h)
+                yield by.get("WARC-Type"), by.get("WARC-Record-ID"), write_record(h, b), None
+        except (ValueError, EOFError, OSError, zlib.error) as e:
+            yield None, None, None, str(e) or "damaged archive"
+
+    kinds = [("warc_type", pa.string()), ("record_id", pa.string()), ("record", pa.binary()), ("problem", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for data in column(whole, content):
-                plain = gzip.decompress(data) if (data or b"").startswith(b"\x1f\x8b") else data or b""
-                found = [(dict(h), write_record(h, b)) for h, b in read_records(plain)]
-                yield pa.RecordBatch.from_arrays([pa.array([h.get("WARC-Type") for h, _ in found], pa.string()), pa.array([h.get("WARC-Record-ID") for h, _ in found], pa.string()), pa.array([r for _, r in found], pa.binary())], names=["warc_type", "record_id", "record"])
+                rows = list(read(data or b""))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-    return files.select(F.col(content)).mapInArrow(run, "warc_type string, record_id string, record binary")
+    return files.select(F.col(content)).mapInArrow(run, "warc_type string, record_id string, record binary, problem string")

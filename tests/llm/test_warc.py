@@ -78,6 +78,15 @@ def test_frames_and_archives(spark):
     assert clash.columns.count("text") == 1 and clash.count() == 4
 
 
+def test_damaged_archives_are_told(spark):
+    one = warc.response("1", "http://a/", HTML)
+    import gzip
+
+    rows = [(one + b"rubbish",), (gzip.compress(one)[:-20],), (b"\x1f\x8bno",), (None,), (one,)]
+    out = warc.scan(spark.createDataFrame(rows, "content binary")).collect()
+    assert sum(r.record == one for r in out) == 2 and sum(r.problem is not None for r in out) == 3 and len(out) == 5
+
+
 def test_query(spark, data):
     from rankweave.llm.queries import op5_warc
 
