@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -91,12 +92,12 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.where("src <> dst").distinct()
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 64) -> DataFrame:
-    """(source, node, dist) in edges of the undirected graph, a level at a time; up to ``most`` levels."""
+def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, node, dist) in edges of the undirected graph, a level at a time until none is new, or up to ``most`` levels."""
     graph = cut(undirected(edges))
     seen = cut(sources.select(F.col("source"), F.col("source").alias("node")).distinct().withColumn("dist", F.lit(0)))
     edge = seen
-    for level in range(1, most + 1):
+    for level in itertools.count(1) if most is None else range(1, most + 1):
         step = edge.join(graph, edge["node"] == graph["src"]).select("source", F.col("dst").alias("node")).distinct()
         edge = cut(step.join(seen, ["source", "node"], "left_anti").withColumn("dist", F.lit(level)))
         if edge.isEmpty():
