@@ -236,8 +236,12 @@ def train(docs: DataFrame, learn: Column, text: str = "text", label: str = "lang
     """
     usable = docs.where(learn & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(label).alias("l"), F.xxhash64(F.lit(17), F.col(text)).alias("x"), F.col(text).alias("t"))
     hashed = F.pmod("x", F.lit(1 << 30))
-    first = F.row_number().over(Window.partitionBy("l").orderBy(hashed, "x"))  # a rank bound: each task keeps its first ones only
-    drawn = usable.select("l", "x").distinct().withColumn("n", first).where(F.col("n") <= docs_per_language).select("l", "x").collect()
+    # Ranked within slices of the tasks and then over them, as every task leaves docs_per_language texts of a language.
+    drawn = usable.select("l", "x").distinct().withColumn("slice", F.spark_partition_id() % 32)
+    for keys in (["l", "slice"], ["l"]):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(hashed, "x"))
+        drawn = drawn.withColumn("n", nth).where(F.col("n") <= docs_per_language).drop("n")
+    drawn = drawn.select("l", "x").collect()
     if not drawn:
         return LanguageModel({})
     wanted = docs.sparkSession.createDataFrame([tuple(r) for r in drawn], "l string, x long")
