@@ -6,8 +6,11 @@ rate, so one seed gives the same segmentation on every machine and run, and anot
 With rate 0 the pieces are those of the model file's own encoder.
 
 Words (a run of spaces with what follows it) do not share pieces.  With dropout each occurrence of a word
-is segmented on its own; at rate 0 each distinct word once, and it is remembered.  Short words are
-segmented many at a time with NumPy, a merge of each a round; long ones by an agenda (a heap).
+draws for itself; at rate 0 each distinct word is segmented once and remembered with the merges it took.
+With dropout, words that occur again are remembered so too: an occurrence that skips none of these merges
+takes them all, as the best candidate is then never a skipped one, and gets the remembered pieces; every
+other occurrence is segmented by itself.  Short words are segmented many at a time with NumPy, a merge of
+each a round; long ones by an agenda (a heap).
 
 Defined results: null text: null ids.  Empty text: no ids.  A character without a piece becomes its
 UTF-8 bytes' pieces, and so does a literal U+2581, which else would decode to a space.  Texts are
@@ -30,7 +33,7 @@ from rankweave.llm.textbatch import code_points, column, slices, starts_of, use_
 
 SPACE = "▁"
 LONG = 48  #: characters from which a word goes to the agenda
-KEEP = 500_000  #: words remembered at rate 0
+KEEP = 500_000  #: words remembered
 BATCH_CHARS = 4_000_000
 NEVER = np.int64(1) << np.int64(60)
 _WORDS = re.compile(r" *[^ \n]+|\n| +")
@@ -140,8 +143,11 @@ class MergeModel:
             i = after[i]
         return out
 
-    def segment(self, words: list[str], keys: np.ndarray, rate: float) -> list[bytes]:
-        """Each word's ids as little-endian 32-bit numbers, all words side by side."""
+    def segment(self, words: list[str], keys: np.ndarray, rate: float, taken: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
+        """Each word's ids as little-endian 32-bit numbers, all words side by side.
+
+        ``taken`` is given each round's merges: the words' places and the merges' places, as ``_merge``.
+        """
         if not words:
             return []
         flat, sizes = code_points(words)
@@ -160,8 +166,7 @@ class MergeModel:
             out = np.where(inside, self._made(ids[i], ids[j]), NEVER)
             if bar:
                 k = np.flatnonzero(out < NEVER)
-                x = _hash(keys[owner[i[k]]] ^ _hash(first[i[k]].astype(np.uint64) << np.uint64(42) | first[j[k]].astype(np.uint64) << np.uint64(21) | stop[j[k]].astype(np.uint64)))
-                out[k[x < bar]] = NEVER
+                out[k[_hash(keys[owner[i[k]]] ^ _merge(first[i[k]], first[j[k]], stop[j[k]])) < bar]] = NEVER
             return out
 
         value = values(np.arange(len(ids)))
@@ -183,6 +188,8 @@ class MergeModel:
                 if not len(ids):
                     break
             spot = begin + (best & 63)
+            if taken is not None:
+                taken.append((owner[spot], _merge(first[spot], first[spot + 1], stop[spot + 1])))
             ids[spot] = self.by_rank[best >> 6]
             stop[spot] = stop[spot + 1]
             keep = np.ones(len(ids), bool)
@@ -211,31 +218,60 @@ class MergeModel:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def _merge(first: np.ndarray, middle: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """What a merge's place in its word adds to the skip hash."""
+    return _hash(first.astype(np.uint64) << np.uint64(42) | middle.astype(np.uint64) << np.uint64(21) | stop.astype(np.uint64))
+
+
 def _skipped(key: int, first: int, middle: int, stop: int, bar: int) -> bool:
-    inner = _hash(np.array([first << 42 | middle << 21 | stop], np.uint64))
+    inner = _merge(np.array([first]), np.array([middle]), np.array([stop]))
     return int(_hash(np.array([key], np.uint64) ^ inner)[0]) < bar
 
 
 class DropoutEncoder:
-    """An encoder with a seed and a rate; at rate 0 it remembers words."""
+    """An encoder with a seed and a rate.  It remembers distinct words without dropout, and their merges."""
 
     def __init__(self, model: MergeModel, seed: int = 0, rate: float = 0.1) -> None:
         self.model, self.seed, self.rate = model, seed, rate
-        self.known: dict[str, bytes] = {}
+        self._forget()
 
-    def _segmented(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pieces: list[bytes] = []
+        self.sizes = np.zeros(0, np.int64)  # merges of each remembered word, and all of them in a row
+        self.merges = np.zeros(0, np.uint64)
+
+    def _segmented(self, words: list[str], keys: np.ndarray, rate: float, taken: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
         out = [b""] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) < LONG and w != SPACE]
+        short = np.array([i for i, w in enumerate(words) if len(w) < LONG and w != SPACE], np.int64)
         for lo in range(0, len(short), 50_000):
             part = short[lo : lo + 50_000]
-            for i, ids in zip(part, self.model.segment([words[i].replace(" ", SPACE) for i in part], keys[part], self.rate), strict=True):
+            some = None if taken is None else []
+            for i, ids in zip(part.tolist(), self.model.segment([words[i].replace(" ", SPACE) for i in part.tolist()], keys[part], rate, some), strict=True):
                 out[i] = ids
+            if some:
+                taken += [(part[owner], merge) for owner, merge in some]
         for i, w in enumerate(words):
             if w == SPACE or len(w) >= LONG:
-                ids = self.model._bytes_of(SPACE) if w == SPACE else self.model.agenda(w.replace(" ", SPACE), int(keys[i]), self.rate)
+                ids = self.model._bytes_of(SPACE) if w == SPACE else self.model.agenda(w.replace(" ", SPACE), int(keys[i]), rate)
                 out[i] = np.array(ids, "<u4").tobytes()
         return out
 
+    def _remember(self, words: set[str]) -> None:
+        missing = words.difference(self.known)
+        if len(self.known) + len(missing) > KEEP:
+            self._forget()
+            missing = words
+        if not missing:
+            return
+        todo, taken = sorted(missing), []
+        self.known.update(zip(todo, range(len(self.known), len(self.known) + len(todo)), strict=True))
+        self.pieces += self._segmented(todo, np.zeros(len(todo), np.uint64), 0.0, taken)
+        if self.rate > 0:
+            owners, merges = (np.concatenate([np.zeros(0, kind), *(t[k] for t in taken)]) for k, kind in enumerate((np.int64, np.uint64)))
+            self.sizes = np.append(self.sizes, np.bincount(owners, minlength=len(todo)))
+            self.merges = np.append(self.merges, merges[np.argsort(owners, kind="stable")])
+
     def _words(self, text: str) -> list[str]:
         if not text:
             return []
@@ -248,13 +284,8 @@ class DropoutEncoder:
         words = [self._words(t) for t in texts]
         if self.rate > 0:
             return self._dropped(texts, words)
-        missing = set().union(*words).difference(self.known)
-        if len(self.known) + len(missing) > KEEP:
-            self.known.clear()
-            missing = set().union(*words)
-        todo = sorted(missing)
-        self.known.update(zip(todo, self._segmented(todo, np.zeros(len(todo), np.uint64)), strict=True))
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        self._remember(set().union(*words))
+        return [b"".join([self.pieces[self.known[w]] for w in some]) for some in words]
 
     def _dropped(self, texts: list[str], words: list[list[str]]) -> list[bytes]:
         """Every occurrence has a key of its own, made from its text and its place there."""
@@ -262,10 +293,32 @@ class DropoutEncoder:
         place = np.arange(counts.sum()) - np.repeat(starts_of(counts), counts)
         of_text = np.array([_word_key(t, self.seed, 0) for t in texts], np.uint64)
         keys = _hash(np.repeat(of_text, counts) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        got = self._segmented([w for some in words for w in some], keys)
+        flat = [w for some in words for w in some]
+        place_of: dict[str, int] = {}
+        which = np.array([place_of.setdefault(w, len(place_of)) for w in flat], np.int64)
+        often = (np.bincount(which, minlength=len(place_of)) > 1).tolist()
+        self._remember({w for w, again in zip(place_of, often, strict=True) if again and len(w) < LONG})
+        at = np.array([self.known.get(w, -1) for w in place_of], np.int64)[which]
+        got = [self.pieces[k] if k >= 0 else b"" for k in at.tolist()]
+        own = np.flatnonzero((at < 0) | self._varied(at, keys))
+        for i, ids in zip(own.tolist(), self._segmented([flat[i] for i in own.tolist()], keys[own], self.rate), strict=True):
+            got[i] = ids
         edges = np.append(0, np.cumsum(counts)).tolist()
         return [b"".join(got[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
+    def _varied(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which occurrences of remembered words skip a merge that the word takes without dropout."""
+        bar = np.uint64(min(int(self.rate * 2.0**64), 2**64 - 1))
+        out = np.zeros(len(at), bool)
+        begin = starts_of(self.sizes)
+        for lo in range(0, len(at), 200_000):
+            some = lo + np.flatnonzero(at[lo : lo + 200_000] >= 0)
+            sizes = self.sizes[at[some]]
+            spots = np.arange(sizes.sum()) + np.repeat(begin[at[some]] - starts_of(sizes), sizes)
+            owner = np.repeat(some, sizes)
+            out[owner[_hash(keys[owner] ^ self.merges[spots]) < bar]] = True
+        return out
+
 
 @functools.lru_cache(maxsize=1)
 def _encoder(path: str, seed: int, rate: float) -> DropoutEncoder:

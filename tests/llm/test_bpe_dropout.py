@@ -76,6 +76,21 @@ def test_each_occurrence_is_drawn_on_its_own(model):
     assert alone == encoder.encode(ODD) == B.DropoutEncoder(model, 1, 0.1).encode(ODD)
 
 
+def test_every_occurrence_equals_its_own_agenda(model, monkeypatch):
+    monkeypatch.setattr(B, "KEEP", 40)  # words are forgotten and learned again on the way
+    texts = ["the internationalisation of the segmentation, of the 日本 Straßenbahn " * 9, "the the the", "", " ", "x" * 60 + " the a▁b ▁ the", "word" * 7 + " " + "z" * 47] * 2
+    for rate in (0.05, 0.3, 0.95):
+        for seed in (1, 2):
+            encoder = B.DropoutEncoder(model, seed, rate)
+            for some in (texts[:3], texts):
+                for t, got in zip(some, encoder.encode(some), strict=True):
+                    of_text, want = np.array([B._word_key(t, seed, 0)], np.uint64), []
+                    for k, w in enumerate(encoder._words(t)):
+                        key = B._hash(of_text + np.array([k + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                        want += model._bytes_of(w) if w == B.SPACE else model.agenda(w.replace(" ", B.SPACE), int(key[0]), rate)
+                    assert ids(got) == want
+
+
 def test_frames(spark):
     df = spark.createDataFrame([(1, "Hello  world", "x"), (2, None, "y"), (3, "", None), (3, "", None), (4, "a▁b", "z")], "doc_id long, text string, ids string")
     out = B.decode(B.encode(df, PATH, seed=3, rate=0.3), PATH)
