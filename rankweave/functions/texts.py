@@ -51,7 +51,7 @@ def attention(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: (t != 0).cast("int"))
 
 
-def segments(tokens: Column, first_end: int) -> Column:
+def segments(tokens: Column, first_end: Column | int) -> Column:
     """1 for tokens from place ``first_end`` on that are no padding."""
     return F.transform(tokens, lambda t, i: ((i >= first_end) & (t > 0)).cast("int"))
 

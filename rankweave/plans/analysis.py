@@ -164,10 +164,11 @@ def context_window(spark: SparkSession, d: str) -> DataFrame:
     return _tokens(spark, d).select("doc_id", texts.context_window(left, mention, right, 16).alias("ids"))
 
 
-@query(f"WITH {TOK} SELECT doc_id, list_concat(ids[1:6], ids[2:9]) AS ids, list_transform(list_concat(ids[1:6], ids[2:9]), lambda x, i: (i > 6 AND x > 0)::INT) AS segments FROM t")
+@query(f"WITH {TOK} SELECT doc_id, list_concat(ids, ids[2:]) AS ids, list_transform(list_concat(ids, ids[2:]), lambda x, i: (i > len(ids) AND x > 0)::INT) AS segments FROM t")
 def pair_tokens(spark: SparkSession, d: str) -> DataFrame:
-    both = texts.pair(F.slice("ids", 1, 6), F.slice("ids", 1, 9))
-    return _tokens(spark, d).select("doc_id", both.alias("ids"), texts.segments(both, 6).alias("segments"))
+    """A document's whole tokens on both sides."""
+    both = texts.pair(F.col("own"), F.col("own"))  # another name than the result's, which the lambda would read
+    return _tokens(spark, d).withColumnRenamed("ids", "own").select("doc_id", both.alias("ids"), texts.segments(both, F.size("own")).alias("segments"))
 
 
 @query(f"WITH {TOK}, f AS (SELECT doc_id, list_resize(list_concat([1], ids[1:30], [2]), 32, 0) AS a FROM t) SELECT doc_id, list_sum(list_transform(a, lambda x: (x <> 0)::INT))::BIGINT AS attended FROM f")
@@ -176,9 +177,9 @@ def attention_masks(spark: SparkSession, d: str) -> DataFrame:
     return _tokens(spark, d).select("doc_id", F.aggregate(mask, F.lit(0), lambda s, x: s + x).cast("bigint").alias("attended"))
 
 
-@query(f"WITH {TOK} SELECT ids[1:4] AS ids, max(doc_id) AS item_id FROM t GROUP BY 1")
+@query(f"WITH {TOK} SELECT ids, max(doc_id) AS item_id FROM t GROUP BY 1")
 def ids_of_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return negatives.ids_of_tokens(_tokens(spark, d).select(F.slice("ids", 1, 4).alias("ids"), F.col("doc_id").alias("id")))
+    return negatives.ids_of_tokens(_tokens(spark, d).select("ids", F.col("doc_id").alias("id")))
 
 
 # Decoding: the share of each label at each of the first eight components, by the size of the components.

@@ -74,14 +74,18 @@ def degree_stats(spark: SparkSession, d: str) -> DataFrame:
     return _six(out, *out.columns)
 
 
-BFS = f"""WITH RECURSIVE {KNN}, und AS MATERIALIZED (SELECT src, dst FROM knn UNION SELECT dst, src FROM knn), start AS (SELECT id FROM n ORDER BY id LIMIT 3),
-walk(source, node, dist) AS (SELECT id, id, 0 FROM start UNION SELECT source, dst, dist + 1 FROM walk JOIN und ON node = src WHERE dist < 12),
-dist AS MATERIALIZED (SELECT source, node, min(dist) AS dist FROM walk GROUP BY ALL)"""
+def _walked(start: str) -> str:
+    return f"""WITH RECURSIVE {KNN}, und AS MATERIALIZED (SELECT src, dst FROM knn UNION SELECT dst, src FROM knn), start AS ({start}),
+walk(source, node, dist) USING KEY (source, node) AS (SELECT id, id, 0 FROM start UNION SELECT DISTINCT w.source, dst, w.dist + 1 FROM walk w JOIN und ON w.node = src
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.source = w.source AND r.node = dst)), dist AS MATERIALIZED (SELECT source, node, dist FROM walk)"""
+
+
+BFS = _walked("SELECT id FROM n WHERE id % 20 = 0")
 
 
 def _dist(spark: SparkSession, d: str) -> DataFrame:
-    start = nodes(spark, d).select(F.col("id").alias("source")).orderBy("id").limit(3)
-    return graphs.distances(_knn(spark, d), start, 12)
+    """Distances from the query set, as far as the graph goes."""
+    return graphs.distances(_knn(spark, d), queries(spark, d).select(F.col("query_id").alias("source")))
 
 
 @query(f"{BFS} SELECT source, node, dist FROM dist")
@@ -92,16 +96,16 @@ def bfs_distance(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{BFS}, ans AS (SELECT s.id AS source, b.dst AS node FROM start s JOIN (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS pos FROM p) b ON b.src = s.id AND pos <= 30), h AS (SELECT unnest([1, 2, 3, 4]) AS hops)
 SELECT hops, round(avg(coalesce(dist <= hops, false)::INT), 6) AS share FROM h, ans LEFT JOIN dist USING (source, node) GROUP BY 1""")
 def khop_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    """How many of a node's 30 nearest lie within so many hops of it."""
-    start = nodes(spark, d).orderBy("id").limit(3).select(F.col("id").alias("query_id"), "e")
-    best = scoring.topk(start, items(spark, d), 30).select(F.col("query_id").alias("source"), F.col("item_id").alias("node"))
+    """How many of a query's 30 nearest lie within so many hops of it."""
+    best = exact(spark, d, 30).select(F.col("query_id").alias("source"), F.col("item_id").alias("node"))
     return _six(graphs.hop_accuracy(_dist(spark, d), best, [1, 2, 3, 4]), "share")
 
 
-@query(f"{BFS}, far AS (SELECT source, max(dist) AS ecc FROM dist GROUP BY 1) SELECT min(ecc) AS radius, max(ecc) AS diameter, count_if(ecc = (SELECT min(ecc) FROM far)) AS centres FROM far")
+@query(f"{_walked('SELECT id FROM n')}, far AS (SELECT source, max(dist) AS ecc FROM dist GROUP BY 1) SELECT min(ecc) AS radius, max(ecc) AS diameter, count_if(ecc = (SELECT min(ecc) FROM far)) AS centres FROM far")
 def graph_shape(spark: SparkSession, d: str) -> DataFrame:
-    """Over the eccentricities of the start nodes; from all nodes it is the graph's."""
-    return graphs.shape(_dist(spark, d))
+    """The graph's radius, diameter and centres: eccentricities of all nodes, so its work grows with their square."""
+    every = nodes(spark, d).select(F.col("id").alias("source"))
+    return graphs.shape(graphs.distances(_knn(spark, d), every))
 
 
 def _entries(spark: SparkSession, d: str, n: int = 4) -> DataFrame:
