@@ -73,6 +73,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages.select("page_id", "url"), URL_RULES, urlfilter.page_edges(pages)).drop("url")
 
 
+def url_alias_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter over edges that the tables' pages lack: each page's address redirects to that of the page before, but for every third."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    before = pages.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("target"))
+    edges = pages.where("page_id % 3 <> 0").join(before, "page_id").select(F.col("url").alias("source"), "target")
+    return urlfilter.judge(pages, URL_RULES, edges).drop("url")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(_table(spark, sf_dir, "documents"))
 
@@ -87,24 +95,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mpegts": op7_mpegts,
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
+    "url_alias_verdicts": url_alias_verdicts,
     "op10_ngram_join": op10_ngram_join,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    # The tables' pages hold no canonical link or refresh, so that no address has an alias.
-    "op9_url_filter": r"""
-WITH cut AS (
+_JUDGED = r"""
+cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
-), split AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+), split AS MATERIALIZED (
+  SELECT page_id, rest, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
 ), rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-won AS (
+won AS MATERIALIZED (
   SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
   FROM split JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
-)
+)"""
+
+ORACLE_SQL: dict[str, str] = {
+    # The tables' pages hold no canonical link or refresh, so that no address has an alias.
+    "op9_url_filter": f"""
+WITH {_JUDGED}
 SELECT s.page_id, s.host, s.path, w.rule, coalesce(w.v, 'allow') AS verdict
 FROM split s LEFT JOIN won w ON s.page_id IS NOT DISTINCT FROM w.page_id
+""",
+    "url_alias_verdicts": f"""
+WITH RECURSIVE {_JUDGED}, keyed AS MATERIALIZED (
+  SELECT s.page_id, s.host, s.path, w.rule, w.v, nullif(s.host || regexp_extract(rest, '^[^/?#]*([^#]*)', 1), '') AS key FROM split s LEFT JOIN won w USING (page_id)
+), ends AS (SELECT a.key AS x, b.key AS y FROM keyed a JOIN keyed b ON b.page_id + 1 = a.page_id WHERE a.page_id % 3 <> 0),
+both_ways AS MATERIALIZED (SELECT x, y FROM ends WHERE x <> y UNION SELECT y, x FROM ends WHERE x <> y),
+reached(key, other) AS (SELECT x, x FROM both_ways UNION SELECT r.key, b.y FROM reached r JOIN both_ways b ON b.x = r.other),
+decided AS (SELECT r.key, bool_or(k.v = 'allow') AS allowed, bool_or(k.v = 'block') AS blocked FROM reached r JOIN keyed k ON k.key = r.other GROUP BY r.key)
+SELECT k.page_id, k.host, k.path, k.rule, coalesce(k.v, CASE WHEN d.blocked AND NOT coalesce(d.allowed, false) THEN 'block' ELSE 'allow' END) AS verdict
+FROM keyed k LEFT JOIN decided d USING (key)
 """,
     "op10_ngram_join": r"""
 WITH RECURSIVE w AS MATERIALIZED (

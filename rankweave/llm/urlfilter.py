@@ -6,7 +6,9 @@ aliases: connected components over those edges share decisions.  An address with
 rule's verdict; one without is allowed if an alias is explicitly allowed, else blocked if an alias is
 blocked, else allowed.
 
-Aliases are compared without scheme and fragment, hosts without regard to the case of A-Z.
+Aliases are compared without scheme and fragment, hosts without regard to the case of A-Z.  Links are
+resolved against their page's address, ``.`` and ``..`` parts too; one of a scheme without ``://`` (``mailto:``)
+is no alias.
 
 Defined results: null address or one without ``://``: empty host and path, no rule, no alias, and so
 allowed.  Null html has no edges.  Equal addresses get equal verdicts.  Rules of equal length that
@@ -55,18 +57,30 @@ def rule_of(host_: Column, path_: Column, rules: list[tuple[str, str, str]]) ->
     return F.coalesce(*fits, F.lit(None).cast("struct<rule: string, verdict: string>"))
 
 
+def _without_dots(path_: Column) -> Column:
+    """A path that starts with ``/`` without its ``.`` and ``..`` parts."""
+    parts = F.slice(F.split(path_, "/"), F.lit(2), F.greatest(F.size(F.split(path_, "/")) - 1, F.lit(0)))
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.array_append(done, x)),
+    )
+    is_folder = F.element_at(parts, -1).isin(".", "..")
+    return F.concat(F.lit("/"), F.concat_ws("/", kept), F.when(is_folder & (F.size(kept) > 0), "/").otherwise(""))
+
+
 def _resolved(links: DataFrame) -> DataFrame:
-    """(source, target): each link's address, relative to its page's."""
+    """(source, target): each link's address, relative to its page's, as RFC 3986 resolves it."""
     source, link = F.col("source"), F.col("link")
-    parts = links.withColumns({"scheme": F.regexp_extract(source, r"^[^:/?#]+", 0), "origin": host(source), "folder": F.regexp_replace(path(source), r"[^/]*$", "")})
-    origin = F.concat("scheme", F.lit("://"), "origin")
-    target = (
-        F.when(F.instr(link, "://") > 0, link)
-        .when(link.startswith("//"), F.concat(F.col("scheme"), F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .otherwise(F.concat(origin, F.when(F.col("folder") == "", "/").otherwise(F.col("folder")), link))
-    )
-    return parts.select("source", target.alias("target"))
+    folder = F.regexp_replace(path(source), r"[^/]*$", "")
+    parts = links.withColumns({"scheme": F.regexp_extract(source, r"^[^:/?#]+", 0), "origin": host(source), "folder": F.when(folder == "", "/").otherwise(folder)})
+    own_path, own_query = path(source), F.regexp_extract(source, r"(?s)://[^/?#]*[^?#]*(\?[^#]*)", 1)
+    merged = F.when(link.startswith("/"), link).when(link.startswith("?"), F.concat(own_path, link)).when(link.startswith("#"), F.concat(own_path, own_query)).otherwise(F.concat("folder", link))
+    whole = F.when(link.startswith("//"), F.concat(F.col("scheme"), F.lit(":"), link)).when(link.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*:"), link).otherwise(F.concat("scheme", F.lit("://"), "origin", merged))
+    parts = parts.select("source", whole.alias("whole"))
+    whole = F.col("whole")
+    head, rest = F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(whole, r"(?s)^.*?://[^/?#]*[^?#]*(.*)$", 1)
+    dotted = path(whole).rlike(r"(?s)/\.\.?(/|$)")
+    return parts.select("source", F.when(dotted, F.concat(head, _without_dots(path(whole)), rest)).otherwise(whole).alias("target"))
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

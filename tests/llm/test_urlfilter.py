@@ -1,4 +1,5 @@
 import random
+from urllib.parse import urljoin
 
 from rankweave.llm import urlfilter as U
 from rankweave.llm.components import connected_components
@@ -29,6 +30,30 @@ def test_rules_aliases_and_precedence(spark):
     assert {r.verdict for r in U.judge(df.drop("html"), [], U.page_edges(df)).collect()} == {"allow"}
 
 
+def test_links_resolve_as_the_standard_says(spark):
+    pages = ["http://a.b/c/d;p?q", "http://a.b/c/d", "https://a.b", "http://a.b/", "http://a.b/x/y/z/?r#s"]
+    links = "g ./g g/ /g //g.h ?y g?y #s g#s ;x . ./ .. ../ ../g ../.. ../../ ../../g ../../../g /./g /../g g. .g g.. ..g ./../g ./g/. g/./h g/../h g;x=1/../y g?y/../x https://o.p".split()
+    rows = [(p, k) for p in pages for k in links]
+    got = {}
+    for p in pages:
+        found = U._resolved(spark.createDataFrame([(p, k) for k in links], "source string, link string").coalesce(1)).collect()
+        got |= {(p, k): r.target for k, r in zip(links, found, strict=True)}
+
+    for p, k in rows:
+        assert got[p, k].split("#")[0] == urljoin(p, k).split("#")[0], (p, k)
+    odd = U._resolved(spark.createDataFrame([("http://a.b/", "mailto:x@y.z"), ("http://a.b/", "http://o.p/q/../r")], "source string, link string").coalesce(1))
+    assert [r[0] for r in odd.select(U.alias_key(U.F.col("target"))).collect()] == [None, "o.p/r"]  # the library keeps such dots
+
+
+def test_aliases_as_sql(spark, data):
+    from rankweave.llm.queries import url_alias_verdicts
+
+    rows = spark_rows(url_alias_verdicts(spark, data))
+    assert rows == sql_rows(connected(data), ORACLE_SQL["url_alias_verdicts"]) != spark_rows(op9_url_filter(spark, data))
+    plan = url_alias_verdicts(spark, data)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
 def test_components_equal_union_find(spark):
     random.seed(1)
     edges = [(random.randrange(400), random.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 600)] + [(700, i) for i in range(701, 800)] + [(None, 3), (9, None), (900, 900)]
