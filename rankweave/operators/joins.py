@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.operators.ordering import ordinals
+
 
 def link_gold(mentions: DataFrame, entities: DataFrame, key: str = "label_id", kb_key: str = "kb_id", on: tuple[str, ...] = ()) -> DataFrame:
     """Mentions with the ``item_id`` of their entity as ``gold``; a mention without one is dropped.
@@ -33,6 +35,14 @@ def titles_to_ids(lists: DataFrame, entities: DataFrame, title: str = "title") -
     return lists.join(ids, title)
 
 
+def zipped(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """``left`` and ``right`` side by side: the n-th row of one with the n-th of the other, numbered as ``ordinal``.
+
+    Rows are numbered along columns of distinct values; those beyond the shorter side's end are dropped.
+    """
+    return ordinals(left, left_order).join(ordinals(right, right_order), "ordinal")
+
+
 def merge_candidates(left: DataFrame, right: DataFrame, digits: int = 4) -> DataFrame:
     """(query_id, item_id, score, source): the union of two candidate lists, the left's score first.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions import texts
-from rankweave.operators import aggregates, losses, metrics, negatives, report, scoring, sequence, significance
+from rankweave.operators import aggregates, joins, losses, metrics, negatives, report, scoring, sequence, significance
 from rankweave.plans.common import GOLD, R, S, cheap, exact, gold, gold_set, items, md5_key, nodes, pairs, queries, table, uniform
 from rankweave.plans.graph import KNN
 from rankweave.plans.retrieval import _six, label_precision
@@ -241,6 +241,29 @@ def ce_loss(spark: SparkSession, d: str) -> DataFrame:
     return _lists(spark, d).select("query_id", F.round(losses.cross_entropy(F.col("pos"), F.col("negs")), 6).alias("loss"))
 
 
+@query(f"WITH {LISTS} SELECT query_id, round(ln(exp(pos) + list_sum(list_transform(list_reverse_sort(negs)[1:3], lambda x: exp(x)))) - pos, 6) AS loss FROM z")
+def topk_ce_loss(spark: SparkSession, d: str) -> DataFrame:
+    return _lists(spark, d).select("query_id", F.round(losses.topk_cross_entropy(F.col("pos"), F.col("negs"), 3), 6).alias("loss"))
+
+
+@query(f"""WITH {LISTS}, c AS (SELECT query_id, pos, unnest(range(1, len(negs) + 1)) AS r, unnest(negs) AS s FROM z),
+t AS (SELECT *, exp(-r) / sum(exp(-r)) OVER (PARTITION BY query_id) AS soft, (1.0::DOUBLE / r) / sum(1.0::DOUBLE / r) OVER (PARTITION BY query_id) AS share, ln(exp(pos) + sum(exp(s)) OVER (PARTITION BY query_id)) AS total FROM c)
+SELECT query_id, round(any_value((total - pos) / 2) + sum(soft / 2 * (total - s)), 6) AS softmax, round(any_value((total - pos) / 2) + sum(share / 2 * (total - s)), 6) AS linear FROM t GROUP BY 1""")
+def rank_ce_loss(spark: SparkSession, d: str) -> DataFrame:
+    """Targets from the negatives' ranks, as distances."""
+    dists = F.sequence(F.lit(1), F.size("negs"))
+    by = {name: losses.rank_cross_entropy(F.col("pos"), F.col("negs"), dists, how) for name, how in (("softmax", "negate_softmax"), ("linear", "reciprocal_linear"))}
+    return _lists(spark, d).select("query_id", *[F.round(c, 6).alias(name) for name, c in by.items()])
+
+
+@query(f"""WITH {HARD}, best AS (SELECT neg_id, query_id, row_number() OVER (ORDER BY query_id) - 1 AS ordinal FROM h WHERE rk = 1), g AS (SELECT item_id, row_number() OVER (ORDER BY query_id) - 1 AS ordinal FROM pos)
+SELECT ordinal, query_id, neg_id, item_id FROM best JOIN g USING (ordinal)""")
+def zipped_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The n-th query's hardest negative beside the n-th positive, by place alone."""
+    best = negatives.hard_negatives(exact(spark, d, 21), _positives(spark, d), 20).where("rk = 1").select("query_id", "neg_id")
+    return joins.zipped(best, _positives(spark, d).select(F.col("query_id").alias("gold_query"), "item_id"), "query_id", "gold_query").drop("gold_query")
+
+
 @query(f"WITH {LISTS} SELECT query_id, round(list_sum(list_transform(negs, lambda x: greatest(x - pos + 0.5, 0))) / len(negs), 6) AS loss FROM z")
 def margin_loss(spark: SparkSession, d: str) -> DataFrame:
     return _lists(spark, d).select("query_id", F.round(losses.margin(F.col("pos"), F.col("negs"), 0.5), 6).alias("loss"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.texts import entity_key
 from rankweave.operators.joins import link_gold, link_gold_strict
+from rankweave.operators.ordering import ordinals
+from rankweave.operators.scoring import unpacked
 from rankweave.session import cut
 
 
@@ -129,6 +131,11 @@ def ranked_lists(spark: SparkSession, path: str) -> DataFrame:
     return cells.select("query_id", (F.col("p") + 1).alias("rk"), F.col("c.i").alias("item_id"), F.col("c.s").alias("score"))
 
 
+def ranked_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, rk, item_id, score) of lines (query_id, indices, scores), as ``write_ranked`` writes them."""
+    return unpacked(spark.read.schema("query_id long, indices array<long>, scores array<double>").json(path))
+
+
 def gold_list(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, gold) of a JSON list of numbers."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<long>").alias("g"))
@@ -137,8 +144,9 @@ def gold_list(spark: SparkSession, path: str) -> DataFrame:
 
 def metrics_csv(spark: SparkSession, path: str) -> DataFrame:
     """(pos, metric, value, word) of a table with a column for each metric; empty cells are left out."""
-    table = spark.read.csv(path, header=True).withColumn("pos", F.monotonically_increasing_id())
-    names = [c for c in table.columns if c != "pos"]
+    table = spark.read.csv(path, header=True)
+    names = table.columns
+    table = ordinals(table.withColumn("_line", F.monotonically_increasing_id()), "_line", "pos")
     cells = table.select("pos", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").alias("word")) for c in names])).alias("x")).select("pos", "x.*")
     return cells.where("word is not null and word <> ''").select("pos", "metric", F.col("word").try_cast("double").alias("value"), "word")
 
@@ -161,7 +169,7 @@ def external_titles(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("query_id", (F.col("p") + 1).alias("rk"), "x.title")
 
 
-READERS: dict[str, Callable] = {"xmc": multi_label, "ent_link": entity_linking, "nq": questions, "scores": scores, "ranked": ranked_lists}
+READERS: dict[str, Callable] = {"xmc": multi_label, "ent_link": entity_linking, "nq": questions, "scores": scores, "ranked": ranked_lists, "ranked_rows": ranked_rows}
 
 
 def read(spark: SparkSession, data_type: str, *paths: str):

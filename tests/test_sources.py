@@ -51,6 +51,12 @@ def test_other_formats(spark, tmp_path):
     assert [tuple(r) for r in readers.gold_list(spark, str(tmp_path / "g.json")).orderBy("query_id").collect()] == [(0, 5), (1, 6)]
     (tmp_path / "m.csv").write_text("a,b\n1.5,x\n2,\n")
     assert {(r.metric, r.value, r.word) for r in readers.metrics_csv(spark, str(tmp_path / "m.csv")).collect()} == {("a", 1.5, "1.5"), ("b", None, "x"), ("a", 2.0, "2")}
+    (tmp_path / "long.csv").write_text("n\n" + "".join(f"{i}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)  # several partitions
+    try:
+        assert readers.metrics_csv(spark, str(tmp_path / "long.csv")).where("pos <> value").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     (tmp_path / "v.txt").write_text("0.5\n\n1\n")
     assert [r.value for r in readers.floats(spark, str(tmp_path / "v.txt")).orderBy("pair").collect()] == [0.5, 1.0]
     (tmp_path / "res1.json").write_text(json.dumps({"k=1": {"mrr": 3}, "arg_dict": {"a": 1}}))
@@ -65,6 +71,7 @@ def test_sinks_refuse_to_overwrite(spark, tmp_path):
     sinks.write_ranked(lists, str(tmp_path / "r"))
     back = spark.read.json(str(tmp_path / "r")).first()
     assert (back.indices, back.scores) == ([5, 6], [0.5, 0.25])
+    assert sorted(map(tuple, readers.read(spark, "ranked_rows", str(tmp_path / "r")).collect())) == sorted(map(tuple, lists.collect()))
     with pytest.raises(Exception, match="(?i)exists"):
         sinks.write_ranked(lists, str(tmp_path / "r"))
     sinks.write_ranked(lists, str(tmp_path / "r"), overwrite=True)
