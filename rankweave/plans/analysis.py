@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import texts
 from rankweave.operators import aggregates, joins, losses, metrics, negatives, report, scoring, sequence, significance
-from rankweave.plans.common import GOLD, R, S, cheap, exact, gold, gold_set, items, md5_key, nodes, pairs, queries, table, uniform
+from rankweave.plans.common import GOLD, I, Q, R, S, cheap, exact, gold, gold_set, items, md5_key, nodes, pairs, queries, table, uniform
 from rankweave.plans.graph import KNN
 from rankweave.plans.retrieval import _six, label_precision
 from rankweave.streaming.live import windowed
@@ -256,6 +256,27 @@ def rank_ce_loss(spark: SparkSession, d: str) -> DataFrame:
     return _lists(spark, d).select("query_id", *[F.round(c, 6).alias(name) for name, c in by.items()])
 
 
+@query(f"""WITH {R}, t AS (SELECT query_id, score AS a, cheap AS b FROM ex WHERE rk <= 10), u AS (SELECT *, exp(a) / sum(exp(a)) OVER (PARTITION BY query_id) AS p, ln(sum(exp(b)) OVER (PARTITION BY query_id)) AS total FROM t)
+SELECT query_id, round(sum(p * (total - b)), 6) AS ce, round(avg((a - b) * (a - b)), 6) AS mse FROM u GROUP BY 1""")
+def distillation_loss(spark: SparkSession, d: str) -> DataFrame:
+    """The cheap scorer as the student of the exact one on each query's ten best."""
+    both = scoring.gather(exact(spark, d, 10), pairs(spark, d), "cheap").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rk", "score", "cheap"))).alias("a"))
+    teacher, student = F.col("a.score"), F.col("a.cheap")
+    return both.select("query_id", F.round(losses.distillation(teacher, student), 6).alias("ce"), F.round(losses.mse(teacher, student), 6).alias("mse"))
+
+
+@query(f"""WITH {Q}, {I}, {GOLD}, r AS (SELECT query_id, q.e AS q, i.e AS p, (row_number() OVER (ORDER BY query_id) - 1) // 8 AS batch FROM q JOIN gold USING (query_id) JOIN i ON i.item_id = gold),
+c AS MATERIALIZED (SELECT a.batch, a.query_id, a.query_id = b.query_id AS own, list_dot_product(a.q, b.p) AS s FROM r a JOIN r b USING (batch)),
+x AS (SELECT batch, ln(sum(exp(s))) - sum(s) FILTER (own) AS ce FROM c GROUP BY batch, query_id), h AS (SELECT batch, greatest(0.2 - CASE WHEN own THEN s ELSE -s END, 0) AS h FROM c),
+m AS (SELECT batch, avg(h) AS hinge, avg(h * h) AS hinge_sq FROM h GROUP BY 1)
+SELECT batch, round(avg(ce), 6) AS ce, round(any_value(hinge), 6) AS hinge, round(any_value(hinge_sq), 6) AS hinge_sq FROM x JOIN m USING (batch) GROUP BY 1""")
+def in_batch_loss(spark: SparkSession, d: str) -> DataFrame:
+    """Queries in batches of eight, each against its batch's positives."""
+    vectors = items(spark, d).select(F.col("item_id").alias("gold"), F.col("e").alias("pos"))
+    rows = queries(spark, d).select("query_id", F.col("e").alias("q")).join(gold(spark, d).select("query_id", "gold"), "query_id").join(vectors, "gold").select("query_id", "q", "pos")
+    return _six(losses.in_batch(rows, 8, 0.2), "ce", "hinge", "hinge_sq")
+
+
 @query(f"""WITH {HARD}, best AS (SELECT neg_id, query_id, row_number() OVER (ORDER BY query_id) - 1 AS ordinal FROM h WHERE rk = 1), g AS (SELECT item_id, row_number() OVER (ORDER BY query_id) - 1 AS ordinal FROM pos)
 SELECT ordinal, query_id, neg_id, item_id FROM best JOIN g USING (ordinal)""")
 def zipped_rows(spark: SparkSession, d: str) -> DataFrame:
