@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from rankweave.operators.scoring import ranked
 from rankweave.session import cut
 
 
+GRAPH_EDGES = 4_000_000  #: directed edges up to which every task gets the graph, 4 bytes each
+
+
 def knn_graph(vectors: DataFrame, k: int, metric: str = "ip", index: str = "auto", drop_first: bool = False) -> DataFrame:
     """Each node's k nearest others; with ``drop_first`` the k+1 nearest less the first, whichever that is."""
     nodes = vectors.select(F.col("id").alias("query_id"), "e")
@@ -93,8 +98,15 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
-    """(source, node, dist) in edges of the undirected graph, a level at a time until none is new, or up to ``most`` levels."""
+    """(source, node, dist) in edges of the undirected graph, a level at a time until none is new, or up to ``most`` levels.
+
+    A graph of ``GRAPH_EDGES`` at most goes to every task, which walks from its own sources and shuffles
+    nothing; a larger one, or one whose ids are not whole numbers, is walked by joins of all sources.
+    """
     graph = cut(undirected(edges))
+    kinds = {graph.schema["src"].dataType.simpleString(), sources.schema["source"].dataType.simpleString()}
+    if kinds <= {"int", "bigint"} and graph.count() <= GRAPH_EDGES:
+        return _walked(graph, sources, most, "int" if kinds == {"int"} else "bigint")
     seen = cut(sources.select(F.col("source"), F.col("source").alias("node")).distinct().withColumn("dist", F.lit(0)))
     edge = seen
     for level in itertools.count(1) if most is None else range(1, most + 1):
@@ -106,6 +118,45 @@ def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) ->
     return seen
 
 
+def _walked(graph: DataFrame, sources: DataFrame, most: int | None, kind: str) -> DataFrame:
+    spark = graph.sparkSession
+    src, dst = (c.to_numpy() for c in graph.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null").toArrow().columns)
+    ids = np.unique(src)  # both directions are there
+    order = np.argsort(src, kind="stable")
+    begin = np.searchsorted(src[order], ids)
+    sent = spark.sparkContext.broadcast((ids, np.append(begin, len(src)), np.searchsorted(ids, dst[order]).astype(np.int32)))
+
+    def walk(start: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, begin, nbrs = sent.value
+        at = int(np.searchsorted(ids, start))
+        if at == len(ids) or ids[at] != start:
+            return np.array([start], np.int64), np.zeros(1, np.int32)
+        dist = np.full(len(ids), -1, np.int32)
+        dist[at] = level = 0
+        front = np.array([at])
+        while len(front) and (most is None or level < most):
+            level += 1
+            spans = begin[front + 1] - begin[front]
+            ends = np.cumsum(spans)
+            near = nbrs[np.repeat(begin[front] - (ends - spans), spans) + np.arange(ends[-1])]
+            dist[near[dist[near] < 0]] = level
+            front = np.flatnonzero(dist == level)
+        reached = np.flatnonzero(dist >= 0)
+        return ids[reached], dist[reached]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                nodes, dist = walk(s) if s is not None else (np.array([None]), np.zeros(1, np.int32))
+                for lo in range(0, len(nodes), 500_000):
+                    part = pa.array(nodes[lo : lo + 500_000], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(part), pa.int64()), part, pa.array(dist[lo : lo + 500_000])], names=["source", "node", "dist"])
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    out = sources.select(F.col("source").cast("long")).distinct().repartition(parts).mapInArrow(run, "source long, node long, dist int")
+    return out.select(F.col("source").cast(sources.schema["source"].dataType), F.col("node").cast(kind), "dist")
+
+
 def within_hops(dist: DataFrame, hops: int) -> DataFrame:
     return dist.where(F.col("dist") <= hops)
 

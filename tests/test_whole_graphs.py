@@ -1,3 +1,5 @@
+import random
+
 from rankweave.operators import graphs
 
 
@@ -12,3 +14,17 @@ def test_shape_of_a_line(spark):
     line = spark.createDataFrame([(i, i + 1) for i in range(20)], "src long, dst long")
     every = spark.createDataFrame([(i,) for i in range(21)], "source long")
     assert [tuple(r) for r in graphs.shape(graphs.distances(line, every)).collect()] == [(10, 20, 1)]
+
+
+def test_sources_walk_within_their_tasks_or_by_joins(spark, monkeypatch):
+    r = random.Random(5)
+    edges = spark.createDataFrame([(r.randrange(60), r.randrange(60)) for _ in range(55)] + [(7, 7), (200, 200)], "src long, dst long")
+    sources = spark.createDataFrame([(i,) for i in [*range(0, 60, 3), 200, 999, None, 3]], "source int")
+    for most in (None, 2):
+        walked = graphs.distances(edges, sources, most)
+        assert "MapInArrow" in walked._jdf.queryExecution().executedPlan().toString()  # nothing of the levels is shuffled
+        with monkeypatch.context() as m:
+            m.setattr(graphs, "GRAPH_EDGES", 0)
+            joined = graphs.distances(edges, sources, most)
+        assert walked.schema == joined.schema or [f.dataType for f in walked.schema] == [f.dataType for f in joined.schema]
+        assert sorted(map(str, walked.collect())) == sorted(map(str, joined.collect()))
