@@ -170,7 +170,7 @@ def hop_accuracy(dist: DataFrame, answers: DataFrame, hops: list[int]) -> DataFr
 
 def shape(dist: DataFrame) -> DataFrame:
     """(radius, diameter, centres) from all distances; unreached pairs do not count."""
-    far = dist.groupBy("source").agg(F.max("dist").alias("ecc"))
+    far = cut(dist.groupBy("source").agg(F.max("dist").alias("ecc")))
     ends = far.agg(F.min("ecc").alias("radius"), F.max("ecc").alias("diameter"))
     return far.crossJoin(F.broadcast(ends)).groupBy("radius", "diameter").agg(F.count_if(F.col("ecc") == F.col("radius")).alias("centres"))
 
