@@ -20,6 +20,7 @@ from rankweave.session import cut
 
 
 GRAPH_EDGES = 4_000_000  #: directed edges up to which every task gets the graph, 4 bytes each
+ANSWERS = 1_000_000  #: answers up to which they are sent to the distances
 
 
 def knn_graph(vectors: DataFrame, k: int, metric: str = "ip", index: str = "auto", drop_first: bool = False) -> DataFrame:
@@ -163,6 +164,8 @@ def within_hops(dist: DataFrame, hops: int) -> DataFrame:
 
 def hop_accuracy(dist: DataFrame, answers: DataFrame, hops: list[int]) -> DataFrame:
     """(hops, share): how many (source, node) answers lie within so many hops; an unreached one in none."""
+    if answers.count() <= ANSWERS:  # the distances stay where they are, those of answers are picked out
+        dist = cut(dist.join(F.broadcast(answers.select("source", "node").distinct()), ["source", "node"], "left_semi"))
     joined = answers.join(dist, ["source", "node"], "left")
     limits = joined.withColumn("hops", F.explode(F.array(*map(F.lit, hops))))
     return limits.groupBy("hops").agg(F.avg(F.coalesce(F.col("dist") <= F.col("hops"), F.lit(False)).cast("double")).alias("share"))

@@ -28,3 +28,12 @@ def test_sources_walk_within_their_tasks_or_by_joins(spark, monkeypatch):
             joined = graphs.distances(edges, sources, most)
         assert walked.schema == joined.schema or [f.dataType for f in walked.schema] == [f.dataType for f in joined.schema]
         assert sorted(map(str, walked.collect())) == sorted(map(str, joined.collect()))
+
+
+def test_few_answers_meet_the_distances_by_a_broadcast(spark, monkeypatch):
+    line = spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long")
+    dist = graphs.distances(line, spark.createDataFrame([(0,), (5,)], "source long"))
+    answers = spark.createDataFrame([(0, 1), (0, 1), (0, 4), (5, 99), (8, 9)], "source long, node long")
+    few = sorted(map(tuple, graphs.hop_accuracy(dist, answers, [1, 4]).collect()))
+    monkeypatch.setattr(graphs, "ANSWERS", 0)
+    assert few == sorted(map(tuple, graphs.hop_accuracy(dist, answers, [1, 4]).collect())) == [(1, 0.4), (4, 0.6)]
