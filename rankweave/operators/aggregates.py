@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.operators.scoring import Pairs
+
 
 def summary(value: Column, percents: Sequence[int] = (1, 10, 50, 90, 99)) -> list[Column]:
     """Count, least, most, mean, population deviation and exact percentiles of a column."""
@@ -16,6 +20,106 @@ def summary(value: Column, percents: Sequence[int] = (1, 10, 50, 90, 99)) -> lis
     ]
 
 
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], bins: int = 4096, few: int = 100_000) -> list[float | None]:
+    """Exact quantiles of a column, as Spark's ``percentile`` gives them, in memory that is bounded.
+
+    The wanted ranks lie in ranges of values, at first in the whole one; each pass counts the rows of ``bins``
+    parts of them and goes on with those that hold a rank, until ``few`` distinct values can be looked at.
+    Nulls do not count, NaN is the largest.
+    """
+    x = F.col(value).cast("double")
+    inf = float("inf")
+    fine = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)
+    n, below, inner, above, low, high = df.agg(F.count(x), F.count_if(x == -inf), F.count_if(fine), F.count_if(x == inf), F.min(F.when(fine, x)), F.max(F.when(fine, x))).first()
+    if not n:
+        return [None for _ in shares]
+    places = [(n - 1) * p for p in shares]
+    wanted = sorted({r for at in places for r in (math.floor(at), math.ceil(at))})
+    found = {r: -inf if r < below else inf if r < below + inner + above else math.nan for r in wanted if not below <= r < below + inner}
+    spans = [(low, high, below, inner)] if len(found) < len(wanted) else []  # (from, to, ranks before, rows)
+    while spans:
+        open_ = [r for r in wanted if r not in found]
+        small = [s for s in spans if s[3] <= few // len(spans) or s[0] == s[1] or (s[1] - s[0]) / bins <= math.ulp(max(abs(s[0]), abs(s[1])))]
+        for lo, hi, before, _ in small:
+            rows = df.where(fine & (x >= lo) & (x <= hi)).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c")).collect()
+            for v, c in sorted((float(v), c) for v, c in rows):
+                found |= {r: v for r in open_ if before <= r < before + c}
+                before += c
+        spans = [s for s in spans if s not in small]
+        if not spans:
+            break
+        at = None
+        for i, (lo, hi, _, _) in enumerate(spans):
+            part = F.lit(i * bins) + F.least(F.floor((x - lo) / ((hi - lo) / bins)), F.lit(bins - 1))
+            at = F.when((x >= lo) & (x <= hi), part) if at is None else at.when((x >= lo) & (x <= hi), part)
+        seen = df.where(fine).select(at.alias("at"), x.alias("v")).where("at is not null").groupBy("at").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        told: dict[int, list] = {}
+        for r in sorted(seen, key=lambda r: r["at"]):
+            told.setdefault(r["at"] // bins, []).append(r)
+        new = []
+        for i, (_, _, before, _) in enumerate(spans):
+            for r in told.get(i, []):
+                if any(before <= w < before + r["c"] for w in open_):
+                    new.append((r["lo"], r["hi"], before, r["c"]))
+                before += r["c"]
+        spans = new
+    return [_between(at, found) for at in places]
+
+
+def _between(at: float, found: dict[int, float]) -> float:
+    lo, hi = math.floor(at), math.ceil(at)
+    a, b = found[lo], found[hi]
+    return a if lo == hi or a == b else (hi - at) * a + (at - lo) * b
+
+
+def pairs_summary(pairs: Pairs, percents: Sequence[int] = (1, 10, 50, 90, 99), bins: int = 65_536, few: int = 2_000_000) -> DataFrame:
+    """``summary`` of the scores of all pairs, of which only those near a percentile leave their tasks.
+
+    Three passes score them anew: for range and moments, for the rows of each of ``bins`` equal parts of the range,
+    and for the values of the parts that hold a percentile's ranks.  If these are more than ``few``, or scores
+    are not finite, ``quantiles`` of the formed pairs goes on.
+    """
+    spark = pairs.items.sparkSession
+    names = ["n", "low", "high", "mean", "std", *(f"p{p}" for p in percents)]
+    schema = ", ".join(f"{c} {'long' if c == 'n' else 'double'}" for c in names)
+    blocks = pairs.reduced(lambda s: [np.array([x]) for x in (len(s), s.min(), s.max(), s.mean(), ((s - s.mean()) ** 2).sum())], "n long, low double, high double, mean double, m2 double").collect()
+    if not blocks:
+        return spark.createDataFrame([(0, *[None] * (len(names) - 1))], schema)
+    count, lows, highs, means, m2 = (np.array(c) for c in zip(*blocks, strict=True))
+    n, low, high = int(count.sum()), float(lows.min()), float(highs.max())
+    if not math.isfinite(high - low) or low == high:
+        rows = pairs.rows()
+        return rows.agg(*summary(F.col("score"), ())).select("*", *[F.lit(q).cast("double").alias(c) for c, q in zip(names[5:], quantiles(rows, "score", [p / 100 for p in percents]), strict=True)])
+    mean = float((means * count).sum() / n)
+    std = math.sqrt(float((m2 + count * (means - mean) ** 2).sum()) / n)
+
+    def part(s: np.ndarray) -> np.ndarray:
+        return np.minimum((s - low) * (bins / (high - low)), bins - 1).astype(np.int64)
+
+    def counted(s: np.ndarray) -> list[np.ndarray]:
+        c = np.bincount(part(s), minlength=bins)
+        return [np.flatnonzero(c), c[c > 0]]
+
+    sizes = np.zeros(bins, np.int64)
+    for at, c in pairs.reduced(counted, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).collect():
+        sizes[at] = c
+    before = np.cumsum(sizes) - sizes
+    places = [(n - 1) * p / 100 for p in percents]
+    ranks = sorted({r for at in places for r in (math.floor(at), math.ceil(at))})
+    held = np.unique(np.searchsorted(before, ranks, side="right") - 1)
+    if sizes[held].sum() > few:
+        values = quantiles(pairs.rows(), "score", [p / 100 for p in percents])
+    else:
+        marked = np.zeros(bins, bool)
+        marked[held] = True
+        got = np.sort(pairs.reduced(lambda s: [s[marked[part(s)]]], "v double").toArrow().column(0).to_numpy())
+        start = dict(zip(held.tolist(), (np.cumsum(sizes[held]) - sizes[held]).tolist(), strict=True))
+        where = {r: int(np.searchsorted(before, r, side="right")) - 1 for r in ranks}
+        found = {r: float(got[start[b] + r - int(before[b])]) for r, b in where.items()}
+        values = [_between(at, found) for at in places]
+    return spark.createDataFrame([(n, low, high, mean, std, *values)], schema)
+
+
 def mean_std_median(value: str, name: str | None = None) -> list[Column]:
     name = name or value
     return [F.avg(value).alias(f"{name}_mean"), F.stddev_pop(value).alias(f"{name}_std"), F.percentile(value, F.lit(0.5)).alias(f"{name}_p50")]
