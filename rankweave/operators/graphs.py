@@ -82,7 +82,7 @@ def hierarchical(vectors: DataFrame, degree: int, seed: int, metric: str = "ip")
     top = placed.agg(F.max("level")).first()[0]
     out = None
     for level in range((top or 0) + 1):
-        part = knn_graph(placed.where(F.col("level") >= level).select("id", "e"), degree, metric).select(F.lit(level).alias("level"), "src", "dst", "pos")
+        part = knn_graph(placed.where(F.col("level") >= level).select("id", "e"), degree, metric, "exact").select(F.lit(level).alias("level"), "src", "dst", "pos")
         out = part if out is None else out.unionByName(part)
     return out
 

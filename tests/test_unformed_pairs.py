@@ -76,3 +76,10 @@ def test_anchor_products(spark, data, pairs):
 def test_entry_points_form_no_embeddings(spark, data, monkeypatch):
     monkeypatch.setattr(approx, "anchor_embeddings", _no)
     assert catalogue.QUERIES["entry_points"](spark, data).count() == 375
+
+
+def test_graphs_are_exact(spark, data, monkeypatch):
+    monkeypatch.setattr(index, "EXACT_UP_TO", 100)
+    monkeypatch.setattr(index, "ivf_topk", _no)
+    vectors = common.nodes(spark, data).select("id", "e")
+    assert composed.graph("hnsw", vectors, 6, 3).where("level = 0").count() == 3000
