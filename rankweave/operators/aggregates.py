@@ -75,9 +75,9 @@ def _between(at: float, found: dict[int, float]) -> float:
 def pairs_summary(pairs: Pairs, percents: Sequence[int] = (1, 10, 50, 90, 99), bins: int = 65_536, few: int = 2_000_000) -> DataFrame:
     """``summary`` of the scores of all pairs, of which only those near a percentile leave their tasks.
 
-    Three passes score them anew: for range and moments, for the rows of each of ``bins`` equal parts of the range,
-    and for the values of the parts that hold a percentile's ranks.  If these are more than ``few``, or scores
-    are not finite, ``quantiles`` of the formed pairs goes on.
+    Each pass scores them anew: for range and moments, then for the rows of ``bins`` parts of each span of values
+    that holds a percentile's ranks, until these spans have ``few`` scores together, whose values are sent, or one
+    value each.  Only if scores are not finite, ``quantiles`` of the formed pairs is asked instead.
     """
     spark = pairs.items.sparkSession
     names = ["n", "low", "high", "mean", "std", *(f"p{p}" for p in percents)]
@@ -87,39 +87,59 @@ def pairs_summary(pairs: Pairs, percents: Sequence[int] = (1, 10, 50, 90, 99), b
         return spark.createDataFrame([(0, *[None] * (len(names) - 1))], schema)
     count, lows, highs, means, m2 = (np.array(c) for c in zip(*blocks, strict=True))
     n, low, high = int(count.sum()), float(lows.min()), float(highs.max())
-    if not math.isfinite(high - low) or low == high:
+    if not math.isfinite(high - low):
         rows = pairs.rows()
         return rows.agg(*summary(F.col("score"), ())).select("*", *[F.lit(q).cast("double").alias(c) for c, q in zip(names[5:], quantiles(rows, "score", [p / 100 for p in percents]), strict=True)])
     mean = float((means * count).sum() / n)
     std = math.sqrt(float((m2 + count * (means - mean) ** 2).sum()) / n)
 
-    def part(s: np.ndarray) -> np.ndarray:
-        return np.minimum((s - low) * (bins / (high - low)), bins - 1).astype(np.int64)
-
-    def counted(s: np.ndarray) -> list[np.ndarray]:
-        c = np.bincount(part(s), minlength=bins)
-        return [np.flatnonzero(c), c[c > 0]]
-
-    sizes = np.zeros(bins, np.int64)
-    for at, c in pairs.reduced(counted, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).collect():
-        sizes[at] = c
-    before = np.cumsum(sizes) - sizes
     places = [(n - 1) * p / 100 for p in percents]
-    ranks = sorted({r for at in places for r in (math.floor(at), math.ceil(at))})
-    held = np.unique(np.searchsorted(before, ranks, side="right") - 1)
-    if sizes[held].sum() > few:
-        values = quantiles(pairs.rows(), "score", [p / 100 for p in percents])
-    else:
-        marked = np.zeros(bins, bool)
-        marked[held] = True
-        got = np.sort(pairs.reduced(lambda s: [s[marked[part(s)]]], "v double").toArrow().column(0).to_numpy())
-        start = dict(zip(held.tolist(), (np.cumsum(sizes[held]) - sizes[held]).tolist(), strict=True))
-        where = {r: int(np.searchsorted(before, r, side="right")) - 1 for r in ranks}
-        found = {r: float(got[start[b] + r - int(before[b])]) for r, b in where.items()}
-        values = [_between(at, found) for at in places]
+    open_ = sorted({r for at in places for r in (math.floor(at), math.ceil(at))})
+    found: dict[int, float] = {}
+    spans = [(low, high, 0, n)]  # (from, to, ranks before, rows)
+    while open_:
+        for lo, hi, before, c in spans:
+            found |= {r: lo for r in open_ if lo == hi and before <= r < before + c}
+        open_ = [r for r in open_ if r not in found]
+        spans = [s for s in spans if s[0] < s[1] and any(s[2] <= r < s[2] + s[3] for r in open_)]
+        if open_ and sum(s[3] for s in spans) <= few:
+            got = np.sort(pairs.reduced(lambda s, spans=spans: [np.concatenate([s[(s >= lo) & (s <= hi)] for lo, hi, _, _ in spans])], "v double").toArrow().column(0).to_numpy())
+            for lo, _, before, c in spans:
+                start = int(np.searchsorted(got, lo)) - before
+                found |= {r: float(got[start + r]) for r in open_ if before <= r < before + c}
+            break
+        if open_:
+            spans = _divided(pairs, spans, bins)
+    values = [_between(at, found) for at in places]
     return spark.createDataFrame([(n, low, high, mean, std, *values)], schema)
 
 
+def _divided(pairs: Pairs, spans: list[tuple[float, float, int, int]], bins: int) -> list[tuple[float, float, int, int]]:
+    """The parts that have scores of each span, from their least to their largest one."""
+
+    def counted(s: np.ndarray) -> list[np.ndarray]:
+        s = np.sort(s)
+        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+        for i, (lo, hi, _, _) in enumerate(spans):
+            v = s[np.searchsorted(s, lo) : np.searchsorted(s, hi, side="right")]
+            if len(v):
+                at = np.minimum((v - lo) / (hi - lo) * bins, bins - 1).astype(np.int64) + i * bins
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                last = np.append(first[1:], len(v))
+                got.append((at[first], last - first, v[first], v[last - 1]))
+        return [np.concatenate(c) for c in zip(*got, strict=True)]
+
+    told = pairs.reduced(counted, "at long, c long, lo double, hi double").groupBy("at").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+    out, i, before = [], -1, 0
+    for r in sorted(told, key=lambda r: r["at"]):
+        if r["at"] // bins != i:
+            i = r["at"] // bins
+            before = spans[i][2]
+        out.append((r["lo"], r["hi"], before, r["c"]))
+        before += r["c"]
+    return out
+
+
 def mean_std_median(value: str, name: str | None = None) -> list[Column]:
     name = name or value
     return [F.avg(value).alias(f"{name}_mean"), F.stddev_pop(value).alias(f"{name}_std"), F.percentile(value, F.lit(0.5)).alias(f"{name}_p50")]

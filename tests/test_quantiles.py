@@ -29,3 +29,16 @@ def test_summary_of_pairs(spark, bins, few):
 def test_score_summary_holds_no_map_of_values(spark, data):
     plan = catalogue.QUERIES["score_summary"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile" not in plan
+
+
+@pytest.mark.parametrize("rows", [[(i, [1.0, 2.0] if i % 3 else [i * 0.37 % 1, 1.0]) for i in range(60)], [(i, [1.0, 2.0]) for i in range(9)], [(i, [1e9 if i == 8 else i * 1e-9, 1.0]) for i in range(40)]], ids=["one common vector", "all equal", "one far vector"])
+@pytest.mark.parametrize("bins,few", [(4, 3), (64, 20)])
+def test_summary_forms_no_pairs_where_many_lie_near_a_percentile(spark, monkeypatch, rows, bins, few):
+    pairs = scoring.Pairs(spark.createDataFrame(rows[::4], "query_id long, e array<double>"), spark.createDataFrame(rows, "item_id long, e array<double>"))
+    told = pairs.rows().agg(*aggregates.summary(F.col("score"))).first()
+
+    def formed(self):
+        raise AssertionError("pairs are formed")
+
+    monkeypatch.setattr(scoring.Pairs, "rows", formed)
+    assert aggregates.pairs_summary(pairs, bins=bins, few=few).first() == pytest.approx(told)
