@@ -36,12 +36,16 @@ class Plan:
     shortlist: int = 0  #: score only so many new nodes a round, those with the best cheap scores
 
 
-def beam_search(entries: DataFrame, edges: DataFrame, score: Scorer, plan: Plan, cheap: DataFrame | None = None, masked: DataFrame | None = None, soft_mask: bool = False) -> tuple[DataFrame, DataFrame]:
+def beam_search(entries: DataFrame, edges: DataFrame, score: Scorer, plan: Plan, cheap: DataFrame | None = None, masked: DataFrame | None = None, soft_mask: bool = False, kept: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(query_id, rk, item_id, score) and (query_id, n_scored, rounds).
 
     ``entries`` are the start pairs.  ``masked`` pairs are left out or, with ``soft_mask``, get their
     cheap score, which costs nothing.  ``cheap`` holds such scores (query_id, item_id, score).
+    ``kept`` says the same as ``masked`` the other way round: all other items of a query that is named in it are left out.
     """
+    if kept is not None:
+        kept = cut(kept.select("query_id", "item_id").distinct())
+        named = cut(kept.select("query_id").distinct())
     beam_size = min(plan.beam, plan.budget)
     graph = cut(edges.select("src", F.col("dst").alias("nbr"), "pos"))
     start = entries.select("query_id", "item_id").distinct()
@@ -62,6 +66,8 @@ def beam_search(entries: DataFrame, edges: DataFrame, score: Scorer, plan: Plan,
             if soft_mask and cheap is not None:
                 free = new.join(hidden, ["query_id", "item_id"], "left_semi").join(cheap, ["query_id", "item_id"]).select("query_id", "item_id", "score")
             new = new.join(hidden, ["query_id", "item_id"], "left_anti")
+        if kept is not None:
+            new = new.join(kept, ["query_id", "item_id"], "left_semi").unionByName(new.join(named, "query_id", "left_anti"))
         if plan.shortlist and cheap is not None:
             short = ranked(new.join(cheap.select("query_id", "item_id", "score"), ["query_id", "item_id"]), plan.shortlist)
             new = new.join(short.select("query_id", "item_id"), ["query_id", "item_id"], "left_semi")

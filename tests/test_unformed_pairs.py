@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave.functions.sampling import key
-from rankweave.operators import approx, composed, index, scoring
+from rankweave.operators import approx, composed, graphs, index, scoring, search
 from rankweave.plans import catalogue, common, graph
 from tests.compare import spark_rows
 
@@ -120,3 +120,26 @@ def test_incremental_cur_of_pairs_forms_no_rows(spark, monkeypatch, strategy, n_
     for owner, what in ((scoring, "matrix"), (approx, "dense"), (scoring.Pairs, "rows")):
         monkeypatch.setattr(owner, what, _no)
     assert spark_rows(approx.incremental_cur(test, train, 12, 3, 7, strategy, 5)) == expected
+
+
+def test_kept_items_are_those_not_masked(spark):
+    rng = np.random.default_rng(5)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 6)))], "item_id long, e array<double>")
+    asked = items.where("item_id % 4 = 0").withColumnRenamed("item_id", "query_id")
+    train, test = (scoring.Pairs(asked.where(f"query_id {side} 28"), items) for side in ("<", ">="))
+    edges = graphs.knn_graph(items.withColumnRenamed("item_id", "id"), 6, index="exact")
+    start = composed.entries("random", test.ids("query_id"), items, 3, seed=1)
+    explored = test.rows().where("item_id % 3 = 0 and query_id <> 40 or item_id = 7")  # 40 has too few
+    formed = composed.adaptive_scores(explored, train.rows(), 5)
+    best = composed.adaptive_scores(explored, train, 5, keep=15)
+    assert spark_rows(best.select("query_id", "item_id")) == spark_rows(scoring.ranked(formed, 15).select("query_id", "item_id"))
+    plan = search.Plan(k=5, beam=4, budget=30)
+    masked = search.beam_search(start, edges, search.lookup(test.rows()), plan, formed, composed.adaptive_mask(formed, 15))
+    kept = search.beam_search(start, edges, search.lookup(test.rows()), plan, kept=best)
+    assert [spark_rows(a) for a in kept] == [spark_rows(a) for a in masked]
+
+
+def test_masked_search_forms_no_scores(spark, data, monkeypatch):
+    for owner, what in ((scoring, "matrix"), (approx, "dense"), (composed, "adaptive_mask")):
+        monkeypatch.setattr(owner, what, _no)
+    assert catalogue.QUERIES["masked_search"](spark, data).count() > 0
